@@ -12,6 +12,7 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     # plans here have thousands of expressions; recording a Python call site for each is slow
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

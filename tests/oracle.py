@@ -87,7 +87,6 @@ if __name__ == "__main__":
     sf_dir = sys.argv[1]
     wanted = sys.argv[2:]
     spark = local_session(8)
-    spark.conf.set("spark.ui.showConsoleProgress", "false")
     spark.sparkContext.setLogLevel("OFF")
     con = connect(sf_dir)
     bad = 0
