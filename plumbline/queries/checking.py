@@ -373,14 +373,15 @@ def _(t):
 
 # --- schema, whole tables, follow-ups ----------------------------------------------------------------
 
-@query("check_schema_findings", "C48 C68 C69 C70 C71 C72", """
+@query("check_header_and_dates", "C37 C48 C69 C70 C71 C72", """
 SELECT * FROM (VALUES ('orders', 'o Status', 'column_name_whitespace', 'low', CAST(1 AS BIGINT), CAST(4 AS BIGINT), 0.25::DOUBLE),
  ('orders', 'O_ORDERKEY', 'case_insensitive_column_collision', 'medium', 1, 4, 0.25), ('orders', 'o_orderkey', 'duplicate_column_names', 'high', 1, 4, 0.25),
  ('orders', '[table]', 'schema_mismatch', 'high', 1, 4, 0.25)) v(dataset, column_name, issue_type, severity, n_bad, n_checked, pct)
-WHERE (SELECT count(*) FROM orders) > 0""")
+UNION ALL """ + issue_sql("orders", "o_orderdate", "weekend_date_anomaly", "low", "isodow(o_orderdate) >= 6"))
 def _(t):
-    return checks.schema_checks(t["orders"], "orders", header=["o_orderkey", "o Status", "O_ORDERKEY", "o_orderkey"],
-                                expected=["o_orderkey", "o_status"])
+    found = checks.schema_checks(t["orders"], "orders", header=["o_orderkey", "o Status", "O_ORDERKEY", "o_orderkey"],
+                                 expected=["o_orderkey", "o_status"])
+    return found.unionByName(checks.run_row_checks(t["orders"], "orders", SETTINGS, only=["weekend_date_anomaly"]))
 
 
 @query("check_empty_dataset", "C68", """
