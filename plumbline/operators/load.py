@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import fixed_values as fv
 from plumbline.functions.columns import as_double, col, infos, parse_date, row_fingerprint, strip
-from plumbline.operators.transforms import email_value, phone_value, target_type
+from plumbline.operators.ordering import quantile_chunks
+from plumbline.operators.transforms import email_value, order_number, phone_value, target_type
 
 OPEN_END = "9999-12-31 00:00:00"
 
@@ -86,11 +87,22 @@ def history_as_of(target: DataFrame, moment: str) -> DataFrame:
 
 
 def validity_from_events(df: DataFrame, keys: list[str], changed_at: str) -> DataFrame:
-    """History table from change events: each row is valid until the next change of its key."""
-    w = Window.partitionBy(*keys).orderBy(changed_at)
-    following = F.lead(changed_at).over(w)
-    return df.withColumn("valid_from", F.col(changed_at)).withColumn(
-        "valid_to", F.coalesce(following, F.lit(OPEN_END).cast(df.schema[changed_at].dataType))).withColumn("is_current", following.isNull())
+    """History table from change events: each row is valid until the next change of its key.
+
+    A key's events are cut into quantile chunks of time, so a hot key is spread over tasks; the last
+    event of a chunk takes its end from the first event of the key's next chunk.
+    """
+    tagged = quantile_chunks(df, order_number(df, changed_at))
+    firsts = tagged.groupBy(*keys, "_chunk").agg(F.min(changed_at).alias("_first"))
+    following_chunk = firsts.select(
+        *keys, "_chunk", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_next_chunk"))
+    local = tagged.withColumn("_next", F.lead(changed_at).over(Window.partitionBy(*keys, "_chunk").orderBy(changed_at)))
+    condition = [local[k].eqNullSafe(following_chunk[k]) for k in [*keys, "_chunk"]]
+    joined = local.join(following_chunk, condition, "left").select(*[local[c] for c in local.columns], following_chunk["_next_chunk"])
+    following = F.coalesce("_next", "_next_chunk")
+    return joined.withColumn("valid_from", F.col(changed_at)).withColumn(
+        "valid_to", F.coalesce(following, F.lit(OPEN_END).cast(df.schema[changed_at].dataType))
+    ).withColumn("is_current", following.isNull()).drop("_next", "_next_chunk", "_chunk")
 
 
 def append(target: DataFrame, staged: DataFrame) -> DataFrame:

@@ -107,25 +107,38 @@ def exact_percentiles(
     ])
 
 
-def ordered_ranks(
-    grouped: DataFrame, part: list[str], value: str, weight: str, chunks: int = 200
-) -> DataFrame:
+def quantile_chunks(df: DataFrame, value: Column, part: list[str] | None = None, side: int = 32) -> DataFrame:
+    """Add ``_chunk``: the number of the value's quantile range, ``side ** 2`` ranges per ``part``.
+
+    Cuts come from one mergeable sketch. They are searched in two steps (a coarse list, then one
+    fine list), so a row costs ``2 * side`` comparisons. ``part`` must have few values.
+    """
+    part = part or []
+    n = side * side
+    sketch = df.groupBy(*part).agg(F.percentile_approx(value, [(i + 1) / n for i in range(n - 1)], 10_000).alias("_cuts"))
+    splits = sketch.select(
+        *part,
+        F.transform(F.sequence(F.lit(1), F.lit(side - 1)), lambda i: F.element_at("_cuts", i * side)).alias("_coarse"),
+        F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda i: F.slice("_cuts", i * side + 1, F.lit(side - 1))).alias("_fine"),
+    )
+    joined = (df.join(F.broadcast(splits), part) if part else df.crossJoin(F.broadcast(splits))).withColumn("_at", value)
+    placed = joined.withColumn("_c", F.coalesce(F.size(F.filter("_coarse", lambda c: c < F.col("_at"))), F.lit(0)))
+    fine = F.size(F.filter(F.element_at("_fine", F.greatest(F.col("_c"), F.lit(0)) + 1), lambda c: c < F.col("_at")))
+    return placed.withColumn("_chunk", F.greatest(F.col("_c"), F.lit(0)) * side + F.greatest(F.coalesce(fine, F.lit(0)), F.lit(0))).drop(
+        "_coarse", "_fine", "_at", "_c")
+
+
+def ordered_ranks(grouped: DataFrame, part: list[str], value: str, weight: str, side: int = 32) -> DataFrame:
     """Add ``before``: the weight of all smaller values of the same ``part``.
 
-    Values are cut into chunks at approximate quantiles, so that a window never holds more than
-    one chunk; chunk offsets come from a small table.
+    Values are cut into quantile chunks, so that a window never holds more than one chunk; chunk
+    offsets come from a small table.
     """
-    cuts = [(i + 1) / chunks for i in range(chunks - 1)]
-    splits = grouped.groupBy(*part).agg(F.percentile_approx(value, cuts, 10_000).alias("_cuts"))
-    tagged = grouped.join(F.broadcast(splits), part).withColumn(
-        "_chunk", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    ).drop("_cuts")
+    tagged = quantile_chunks(grouped, F.col(value), part, side)
     offsets = (
         tagged.groupBy(*part, "_chunk")
         .agg(F.sum(weight).alias("_w"))
-        .withColumn(
-            "_offset", F.sum("_w").over(Window.partitionBy(*part).orderBy("_chunk")) - F.col("_w")
-        )
+        .withColumn("_offset", F.sum("_w").over(Window.partitionBy(*part).orderBy("_chunk")) - F.col("_w"))
         .drop("_w")
     )
     within = Window.partitionBy(*part, "_chunk").orderBy(value)

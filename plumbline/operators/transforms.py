@@ -3,17 +3,13 @@ collapse into one projection."""
 
 from __future__ import annotations
 
-import re
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import fixed_values as fv
 from plumbline.functions.columns import ColumnInfo, as_double, any_word, col, infos, parse_date, strip
-from plumbline.operators.ordering import exact_percentiles, global_row_number
-from plumbline.session import checkpoint
+from plumbline.operators.ordering import exact_percentiles, global_row_number, quantile_chunks
 
 
 def _info(df: DataFrame, name: str) -> ColumnInfo:
@@ -296,17 +292,18 @@ def flatten_json_text(df: DataFrame, column: str, schema: str) -> DataFrame:
 
 # --- ordered fills --------------------------------------------------------------------------------
 
-def fill_directional(df: DataFrame, column: str, partition_by: list[str], order_by: str, tie_break: str,
-                     backward: bool = False, chunks: int = 64) -> DataFrame:
+def order_number(df: DataFrame, column: str) -> Column:
+    c = F.col(column)
+    return c.cast("timestamp").cast("double") if _info(df, column).kind == "date" else c.cast("double")
+
+
+def fill_directional(df: DataFrame, column: str, partition_by: list[str], order_by: str, tie_break: str, backward: bool = False) -> DataFrame:
     """Last (or next) known value in order.
 
-    Each group is cut into chunks of the order column at approximate quantiles. Chunk summaries
-    carry the value across chunks, so even a group with a third of all rows is spread over tasks.
+    Every group is cut into quantile chunks of the order column. Chunk summaries carry the value
+    across chunks, so even a group with a third of all rows is spread over tasks.
     """
-    key = F.col(order_by).cast("timestamp").cast("double") if _info(df, order_by).kind == "date" else F.col(order_by).cast("double")
-    cuts = [(i + 1) / chunks for i in range(chunks - 1)]
-    splits = df.agg(F.percentile_approx(key, cuts, 10_000).alias("_cuts"))
-    tagged = df.crossJoin(F.broadcast(splits)).withColumn("_chunk", F.size(F.filter("_cuts", lambda c: c < key))).drop("_cuts")
+    tagged = quantile_chunks(df, order_number(df, order_by))
     place = F.struct(F.col(order_by), F.col(tie_break))
     known = F.when(col(column).isNotNull(), place)
     pick = F.min_by if backward else F.max_by

@@ -197,10 +197,12 @@ def _(t):
     return tr.flatten_json_text(t["events"].select("event_id", "event_type", "props"), "props", "struct<k: bigint>")
 
 
-@query("transform_flatten_nested_rows", "H28", "SELECT o_orderkey AS head_o_orderkey, o_orderstatus AS head_o_orderstatus, l_linenumber AS lines_l_linenumber, l_quantity AS lines_l_quantity FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey")
+@query("transform_flatten_nested_rows", "H28", """
+SELECT l_orderkey AS head_order_id, l_linenumber AS head_line, 'quantity' AS measures_kind, l_quantity AS measures_amount FROM lineitem
+UNION ALL SELECT l_orderkey, l_linenumber, 'price', l_extendedprice FROM lineitem""")
 def _(t):
-    lines = t["lineitem"].groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_quantity")).alias("lines"))
-    nested = t["orders"].join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left").select(F.struct("o_orderkey", "o_orderstatus").alias("head"), "lines")
+    measures = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("amount")) for k, c in (("quantity", "l_quantity"), ("price", "l_extendedprice"))])
+    nested = t["lineitem"].select(F.struct(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line")).alias("head"), measures.alias("measures"))
     return tr.flatten_nested(nested)
 
 

@@ -40,3 +40,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="plumbline-ckpt-"))
     return df.checkpoint(eager=True)
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints: shared on a cluster, temporary in local tests."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        return tempfile.mkdtemp(prefix="plumbline-")
+    return f"{base.rstrip('/')}/plumbline-{uuid.uuid4().hex}"
