@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import as_text, infos, missing
+from plumbline.functions.columns import as_text, col, infos
 
 LONG_TEXT = 64
 
@@ -13,20 +13,28 @@ LONG_TEXT = 64
 def value_census(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``(column_name, value, n)`` for every distinct value of every column.
 
-    Rows are combined before the shuffle, so a hot value travels once per map task. Long text is
-    replaced by its MD5, so the shuffle stays narrow; missing values have a null ``value``.
+    Rows are combined before the shuffle, so a hot value travels once per map task. Numbers are
+    grouped as numbers and become text afterwards; long text is replaced by its MD5, so the shuffle
+    stays narrow. Missing values have a null ``value``.
     """
+    chosen = infos(df, columns)
 
-    def entry(info):
-        text = as_text(info)
-        short = F.when(F.length(text) > LONG_TEXT, F.concat(F.lit("md5:"), F.md5(text))).otherwise(text)
-        return F.struct(
-            F.lit(info.name).alias("column_name"),
-            F.when(~missing(info), short).alias("value"),
-        )
+    def entry(k, info):
+        whole = col(info.name).cast("long") if info.kind == "integer" else F.lit(None).cast("long")
+        # adding zero makes minus zero and zero one value
+        real = col(info.name).cast("double") + F.lit(0.0) if info.kind == "float" else F.lit(None).cast("double")
+        text = F.lit(None).cast("string")
+        if info.kind not in ("integer", "float"):
+            text = as_text(info)
+            if info.kind in ("text", "nested"):
+                text = F.when(F.length(text) > LONG_TEXT, F.concat(F.lit("md5:"), F.md5(text))).otherwise(text)
+        return F.struct(F.lit(k).alias("c"), whole.alias("l"), F.nanvl(real, F.lit(None)).alias("d"), text.alias("s"))
 
-    entries = F.array(*[entry(i) for i in infos(df, columns)])
-    return df.select(F.inline(entries)).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    entries = F.array(*[entry(k, i) for k, i in enumerate(chosen)])
+    grouped = df.select(F.inline(entries)).groupBy("c", "l", "d", "s").agg(F.count(F.lit(1)).alias("n"))
+    names = F.array(*[F.lit(i.name) for i in chosen])
+    value = F.coalesce(F.col("l").cast("string"), F.col("d").cast("string"), F.col("s"))
+    return grouped.select(names[F.col("c")].alias("column_name"), value.alias("value"), "n")
 
 
 def census_summary(census: DataFrame) -> DataFrame:

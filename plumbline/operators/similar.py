@@ -36,8 +36,8 @@ def word_shingles(words_column: str, k: int = 3) -> Column:
     """Hashes of the distinct runs of k words. Takes a column, not an expression: an expression
     inside the lambda would be evaluated again for every run."""
     w = F.col(words_column)
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - (k - 1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(k)), " "))))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - k))
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)])))
 
 
 def jaccard(a: Column, b: Column) -> Column:
