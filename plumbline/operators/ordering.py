@@ -47,39 +47,51 @@ def exact_percentiles(
         position = F.lit(float(probs[i])) * (F.col(f"{n}__n") - 1)
         first, last = F.floor(position), F.ceil(position)
         low_open, high_open = first < F.col(f"{n}__b{i}"), last >= F.col(f"{n}__u{i}")
+        single = (F.col(f"{n}__lo{i}") == F.col(f"{n}__hi{i}")) & (first >= F.col(f"{n}__b{i}")) & (last < F.col(f"{n}__u{i}"))
         return F.struct(
             F.lit(n).alias("name"), F.lit(i).alias("ix"), first.alias("first"), last.alias("last"),
             (position - first).alias("frac"),
             F.col(f"{n}__lo{i}").alias("lo"), F.col(f"{n}__hi{i}").alias("hi"),
-            F.when(low_open, float("-inf")).otherwise(F.col(f"{n}__lo{i}")).alias("from"),
-            F.when(high_open, float("inf")).otherwise(F.col(f"{n}__hi{i}")).alias("to"),
+            F.when(low_open, float("-inf")).when(single, float("inf")).otherwise(F.col(f"{n}__lo{i}")).alias("from"),
+            F.when(high_open, float("inf")).when(single, float("-inf")).otherwise(F.col(f"{n}__hi{i}")).alias("to"),
+            F.when(single, F.col(f"{n}__u{i}") - F.col(f"{n}__b{i}")).alias("weight"),
             F.when(low_open, F.lit(0)).otherwise(F.col(f"{n}__b{i}")).alias("before"),
         )
 
-    # both uses of the sketch need all its columns, so Spark reuses its exchange
-    state = counted.crossJoin(F.broadcast(sketch)).select(*[target(n, i).alias(f"{n}__t{i}") for n, i in targets])
+    # Both uses of the sketch need all its columns, so Spark reuses its exchange. The state is one
+    # array column: with a column per field the optimizer's constraint sets grow beyond use.
+    state = counted.crossJoin(F.broadcast(sketch)).select(F.array(*[target(n, i) for n, i in targets]).alias("t"))
+    place = {target: j for j, target in enumerate(targets)}
+
+    def at_target(n, i, field):
+        return F.col("t")[place[n, i]][field]
 
     def inside(n, i):
-        return (F.col(n) >= F.col(f"{n}__t{i}.from")) & (F.col(n) <= F.col(f"{n}__t{i}.to"))
+        return (F.col(n) >= at_target(n, i, "from")) & (F.col(n) <= at_target(n, i, "to"))
+
+    key = ["name", "ix", "first", "last", "frac", "before"]
 
     def entry(n, i):
-        t = f"{n}__t{i}"
-        lo, hi, v = F.col(f"{t}.lo"), F.col(f"{t}.hi"), F.col(n)
+        lo, hi, v = at_target(n, i, "lo"), at_target(n, i, "hi"), F.col(n)
         spread = F.floor((v - lo) / F.nullif(hi - lo, F.lit(0.0)) * SUB_BUCKETS)
         sub = F.when(v < lo, -1).when(v > hi, SUB_BUCKETS + 1).otherwise(F.coalesce(spread, F.lit(0)))
         return F.when(inside(n, i), F.struct(
             sub.cast("int").alias("sub"), v.alias("v"),
-            *[F.col(f"{t}.{f}").alias(f) for f in ("name", "ix", "first", "last", "frac", "before")],
+            *[at_target(n, i, f).alias(f) for f in key],
         ))
 
-    key = ["name", "ix", "first", "last", "frac", "before"]
     grouped = (
         base.crossJoin(F.broadcast(state))
-        .filter(reduce(lambda a, b: a | b, [inside(n, i) for n, i in targets]))
+        # a sum, not a disjunction: the optimizer would try to normalise a long OR of ANDs
+        .filter(reduce(lambda a, b: a + b, [F.when(inside(n, i), 1).otherwise(0) for n, i in targets]) > 0)
         .select(F.inline(F.array_compact(F.array(*[entry(n, i) for n, i in targets]))))
         .groupBy(*key, "sub", "v")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
+    # a bracket that is one value needs no rows: its counts are known already
+    known = state.select(F.inline("t")).filter("weight IS NOT NULL").select(
+        *key, F.lit(0).alias("sub"), F.col("lo").alias("v"), F.col("weight").alias("cnt"))
+    grouped = grouped.unionByName(known)
     by_target = Window.partitionBy("name", "ix").orderBy("sub")
     wanted = (
         grouped.groupBy(*key, "sub")
