@@ -167,3 +167,24 @@ def test_reservoir_is_exact_and_repeatable(spark):
     df = spark.range(10_000)
     a = {r.id for r in readers.reservoir(df, 100).collect()}
     assert len(a) == 100 and a == {r.id for r in readers.reservoir(df.repartition(7), 100).collect()}
+
+
+def test_scratch_lies_in_the_configured_folder(spark):
+    from plumbline import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return "/shared/ck/" if key == "spark.checkpoint.dir" else default
+
+    class Named:
+        conf = Conf()
+
+    assert session.scratch_dir(Named()).startswith("/shared/ck/plumbline-")
+
+
+def test_no_python_runs_in_the_tasks(spark):
+    from plumbline.queries import catalog
+
+    for name in ("assess_lineitem_issues", "profile_lineitem_columns", "load_reject_quarantine", "score_quality"):
+        text = plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert "Python" not in text and "CartesianProduct" not in text
