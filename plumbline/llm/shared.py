@@ -16,11 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLANKS = " \t\n\x0b\x0c\r"
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES, CHUNK_ROWS = 4 << 20, 50_000
 _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -142,12 +143,12 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
 def pieces(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts hold about ``limit`` bytes each, so that numpy's temporaries stay small."""
     texts = batch.column(column)
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0), dtype=np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
     total = np.cumsum(sizes)
     begin = 0
     while begin < len(sizes):
         stop = int(np.searchsorted(total, (total[begin - 1] if begin else 0) + limit, side="right"))
-        stop = min(max(stop, begin + 1), len(sizes))
+        stop = min(max(stop, begin + 1), begin + CHUNK_ROWS, len(sizes))
         yield batch.slice(begin, stop - begin)
         begin = stop
 
