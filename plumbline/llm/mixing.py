@@ -28,7 +28,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_EPOCHS = 2
 SEED = "mix-1"
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 2_000
 KEY_DIGITS = 13  # hexadecimal digits of a key: 52 bits
 
 
