@@ -90,7 +90,8 @@ def exact_groups(docs: DataFrame, bits: int = 64) -> DataFrame:
     if not contested.isEmpty():
         table = with_content_numbers(docs, table, contested, bits)
     rank = F.struct((-F.col("n_points")).alias("p"), F.col("doc_id").isNull().alias("u"), F.col("doc_id"), F.col("tag"))
-    groups = (
+    # written first: the join then has plain exchanges on both sides, and a group with a third of all rows can be split
+    groups = shared.written(
         table.groupBy("recipe").agg(F.count(F.lit(1)).alias("group_size"), F.min(rank).alias("first"))
         .where("group_size > 1").withColumnRenamed("recipe", "group_recipe")
     )

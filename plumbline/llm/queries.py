@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat_format, exact_dedup, html_text, mixing, quality
+from plumbline.llm import chat_format, exact_dedup, html_text, mixing, packing, quality
 from plumbline.llm.shared import read
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -86,3 +86,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_quality_classifier")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op3_best_fit_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
