@@ -174,20 +174,10 @@ def shared_postings(posted: DataFrame) -> DataFrame:
     return shared.written(once.where(F.col("next").isNotNull() | (F.col("least") != F.col("a"))).drop("next", "least"))
 
 
-def row_filter(keys: DataFrame) -> np.ndarray:
-    """Bit table of fixed size that holds all ``a`` of ``keys``, and some others by chance."""
-    bit = F.pmod("a", F.lit(1 << FILTER_BITS)) + 1  # Spark's bitmap functions count from 1
-    parts = keys.select(F.bitmap_bucket_number(bit).alias("k"), F.bitmap_bit_position(bit).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits"))
-    table = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
-    for row in parts.collect():  # at most 2 ** FILTER_BITS bits
-        at = (row["k"] - 1) * 4096
-        table[at:at + 4096] = np.frombuffer(row["bits"], dtype=np.uint8)[:len(table) - at]
-    return table
-
-
 def sets_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """(a, b, shingles) of the classes in ``keys``, made anew from the texts; may hold others."""
-    table = row_filter(keys)
+    # a bit table of fixed size keeps most other sets out of the shuffle; the joins drop the rest
+    table = shared.bit_table(keys.select(F.pmod("a", F.lit(1 << FILTER_BITS)).alias("bit")), FILTER_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -196,7 +186,7 @@ def sets_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
                 _, sets = shingle_sets(part.column("text"))
                 a, b = signatures(sets)
                 bit = (a & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
-                chosen = [i for i in np.flatnonzero((table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1) if int(a[i]) not in seen]
+                chosen = [i for i in np.flatnonzero(shared.bits_on(table, bit)) if int(a[i]) not in seen]
                 chosen = list({int(a[i]): i for i in chosen}.values())
                 seen.update(int(a[i]) for i in chosen)
                 yield pa.RecordBatch.from_arrays(

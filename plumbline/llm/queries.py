@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat_format, exact_dedup, html_text, mixing, ngram_join, packing, quality
+from plumbline.llm import chat_format, exact_dedup, html_text, mixing, ngram_join, packing, quality, substring_dedup
 from plumbline.llm.shared import read
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -124,3 +124,17 @@ r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, b.y FROM
 SELECT r.x AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.y) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.x GROUP BY r.x""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(read(spark, sf_dir, "documents"))
+
+
+@query("op1_substring_dedup", sql=r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents),
+w AS (SELECT doc_id, i, array_to_string(l[i:i + 12], ' ') AS g FROM (SELECT doc_id, l, unnest(range(1, len(l) - 11)) AS i FROM t)),
+m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS least FROM w),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM m WHERE least < doc_id),
+g AS (SELECT doc_id, list(k) AS gone FROM c GROUP BY doc_id),
+r AS (SELECT doc_id, CAST(len(l) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+        CASE WHEN gone IS NULL THEN l ELSE list_select(l, list_sort(list_filter(range(1, len(l) + 1), lambda x: NOT list_contains(gone, x)))) END AS kept
+      FROM t LEFT JOIN g USING (doc_id))
+SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM r""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(read(spark, sf_dir, "documents"))

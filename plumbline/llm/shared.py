@@ -155,3 +155,18 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
 
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def bit_table(keys: DataFrame, bits: int) -> np.ndarray:
+    """Table of ``2 ** bits`` bits, whatever the input, with those set that the column ``bit`` of ``keys`` names."""
+    at = F.col("bit") + 1  # Spark's bitmap functions count from 1
+    parts = keys.select(F.bitmap_bucket_number(at).alias("k"), F.bitmap_bit_position(at).alias("p")).groupBy("k").agg(
+        F.bitmap_construct_agg("p").alias("b"))
+    table = np.zeros(max(4096, (1 << bits) // 8), dtype=np.uint8)
+    for row in parts.toLocalIterator():
+        table[(row["k"] - 1) * 4096:row["k"] * 4096] = np.frombuffer(row["b"], dtype=np.uint8)
+    return table
+
+
+def bits_on(table: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return ((table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
