@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat_format, exact_dedup, html_text, mixing, ngram_join, packing, quality, substring_dedup
+from plumbline.llm import (
+    chat_format, embedding_dedup, exact_dedup, html_text, mixing, ngram_join, packing, quality, substring_dedup,
+)
 from plumbline.llm.shared import read
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -138,3 +140,17 @@ r AS (SELECT doc_id, CAST(len(l) AS BIGINT) AS n_words, CAST(coalesce(len(gone),
 SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM r""")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(read(spark, sf_dir, "documents"))
+
+
+@query("op2_embedding_near_dedup", sql=r"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS m FROM v),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_dot_product(a.e, b.e) / (a.m * b.m) >= 0.9),
+r AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT c.x AS vec_id, coalesce(n.n, 0) AS n_links, component_id, c.x = component_id AS kept FROM c LEFT JOIN n ON n.x = c.x""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
