@@ -126,5 +126,7 @@ def mixed_documents(docs: DataFrame, seed: str = SEED, **targets) -> DataFrame:
     words = F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     cut_text = F.array_join(F.slice(words, F.lit(1), F.greatest("copy", F.lit(0)).cast("int")), "")
     text = F.when(F.col("copy") < 0, F.col("row.text")).otherwise(cut_text)
+    changed = {"text": text, "n_chars": F.when(F.col("copy") < 0, F.col("row").getField("n_chars")).otherwise(F.length(cut_text))} if (
+        "n_chars" in docs.columns) else {"text": text}
     return taken.withColumn("copy", F.explode(copies)).select(
-        *[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
+        *[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
