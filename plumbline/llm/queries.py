@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    chat_format, embedding_dedup, exact_dedup, html_text, mixing, ngram_join, packing, quality, substring_dedup,
+    chat_format, embedding_dedup, exact_dedup, html_text, license_scan, mixing, ngram_join, packing, quality, substring_dedup,
 )
 from plumbline.llm.shared import read
 
@@ -154,3 +154,8 @@ n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
 SELECT c.x AS vec_id, coalesce(n.n, 0) AS n_links, component_id, c.x = component_id AS kept FROM c LEFT JOIN n ON n.x = c.x""")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+@query("op6_license_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
