@@ -24,7 +24,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
-        large = both.join(lowest, F.col("u") == F.col("n")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(lowest, F.col("u") == F.col("n")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         smallest = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "n")
         small = large.join(smallest, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         stars = shared.written(small.unionByName(smallest.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct())

@@ -22,6 +22,7 @@ is named by its smallest doc_id that is not null. Empty tables give empty result
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from plumbline.llm.components import components
 WIDTH, PERCENT = 5, 80
 MOST_MATCHES = 4
 COUNT_BITS, COUNT_PARTS = 21, 1024
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 VERIFY_COST = 8  # cost of verifying a candidate, in postings
 FILTER_BITS = 23
 
@@ -119,7 +120,7 @@ def frequency_levels(table: DataFrame) -> np.ndarray:
 
     rows = table.where("part IS NOT NULL").select("part", "counts").repartition("part").mapInArrow(total, "part int, counts binary")
     counts = np.zeros((COUNT_PARTS, (1 << COUNT_BITS) // COUNT_PARTS))
-    for row in rows.toLocalIterator():
+    for row in rows.collect():  # COUNT_PARTS rows of fixed size
         counts[row["part"]] = np.frombuffer(row["counts"], dtype=np.int64)
     mean = counts.mean()
     return np.log2(np.maximum(1, counts - mean - 3 * np.sqrt(mean))).astype(np.uint8).ravel()
@@ -169,7 +170,8 @@ def postings(docs: DataFrame, levels: np.ndarray) -> DataFrame:
 def shared_postings(posted: DataFrame) -> DataFrame:
     """The postings whose shingle lies in the prefix of another class too, each once."""
     by_token = Window.partitionBy("token").orderBy("a")
-    marked = posted.withColumns({"next": F.lead("a").over(by_token), "least": F.first("a").over(by_token)})
+    whole = Window.partitionBy("token")
+    marked = posted.withColumns({"next": F.lead("a").over(by_token), "least": F.first("a").over(by_token), "spread": F.count(F.lit(1)).over(whole)})
     once = marked.where(F.col("next").isNull() | (F.col("next") != F.col("a")))
     return shared.written(once.where(F.col("next").isNotNull() | (F.col("least") != F.col("a"))).drop("next", "least"))
 
@@ -224,9 +226,34 @@ def labelled(shared_rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(mixed, "token", "left_semi")
 
 
+def relabelled(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """(a, root) after the links found: classes with one root are linked, though linked classes may still have two.
+
+    A class moves with all that share its root to the smallest root that a link shows, one step per call.
+    """
+    links = found.select(F.col("xa").alias("x"), F.col("ya").alias("y"))
+    if labels is not None:
+        for s in "xy":
+            named = labels.select(F.col("a").alias("k"), F.col("root").alias("r"))
+            links = links.join(named, F.col(s) == F.col("k"), "left").withColumn(s, F.coalesce("r", s)).drop("k", "r")
+    both = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("y < x")
+    moves = shared.written(both.groupBy("x").agg(F.min("y").alias("to")))
+    if labels is None:
+        return moves.select(F.col("x").alias("a"), F.col("to").alias("root"))
+    kept = labels.join(moves, F.col("root") == F.col("x"), "left").select("a", F.coalesce("to", "root").alias("root"))
+    fresh = moves.join(labels, F.col("x") == F.col("a"), "left_anti").select(F.col("x").alias("a"), F.col("to").alias("root"))
+    return shared.written(kept.unionByName(fresh))
+
+
 def star_pairs(rows: DataFrame, number: int) -> DataFrame:
-    """Promising pairs of one class per shingle with the other components' classes of that shingle."""
-    hub = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("a", F.lit(number)).alias("h"), F.col("a").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))).alias("s"))
+    """Promising pairs of one class per shingle with the other components' classes of that shingle.
+
+    The first round takes the class whose shingles are the most common, as an original is among its copies; later
+    rounds take any.
+    """
+    weight = rows.groupBy("a").agg(F.sum("spread").alias("h")) if number == 0 else rows.select("a").distinct().withColumn("h", F.xxhash64("a", F.lit(number)))
+    hub = rows.join(weight, "a").groupBy("token").agg(
+        F.max(F.struct("h", F.col("a").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))).alias("s"))
     met = rows.join(hub.select("token", "s.hub", "s.hub_n", "s.hub_comp"), "token").where("comp <> hub_comp")
     similar_size = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * PERCENT
     return (
@@ -241,15 +268,22 @@ def prefix_length(n, most=MOST_MATCHES):
 
 
 def remaining_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs of different components that share the matches the larger class asks for and may reach the overlap."""
-    x, y = (rows.select("token", *[F.col(c).alias(s + c) for c in ("a", "n", "level", "matches", "comp")]) for s in "xy")
-    larger = (F.col("xn") > F.col("yn")) | ((F.col("xn") == F.col("yn")) & (F.col("xa") > F.col("ya")))
-    met = x.join(y, "token").where(larger & (F.col("xcomp") != F.col("ycomp")) & (F.col("yn") * 100 >= F.col("xn") * PERCENT))
-    close = (F.col("xlevel") <= F.col("xmatches")) & (F.col("ylevel") <= F.col("xmatches"))
-    counted = met.groupBy("xa", "ya", "xn", "yn", "xmatches").agg(F.count(F.lit(1)).alias("c"), F.sum(close.cast("int")).alias("close"))
+    """All pairs of different components that share the matches the larger class asks for and may reach the overlap.
+
+    A pair shares no more prefix shingles than either class has in ``rows``; that alone rules most pairs out while they
+    are joined.
+    """
+    most = rows.groupBy("a").agg(F.count(F.lit(1)).alias("most"))
+    rows = shared.written(rows.join(most, "a"))
+    x, y = (rows.select("token", *[F.col(c).alias(s + c) for c in ("a", "n", "level", "matches", "comp", "most")]) for s in "xy")
     # what the prefixes do not show can add at most the longer of both rests
     rest = F.greatest(F.col("xn") - prefix_length(F.col("xn")), F.col("yn") - prefix_length(F.col("yn")))
     overlap = F.ceil((F.col("xn") + F.col("yn")) * PERCENT / (100 + PERCENT))
+    possible = F.least("xmost", "ymost") >= F.greatest(F.col("xmatches"), overlap - rest)
+    larger = (F.col("xn") > F.col("yn")) | ((F.col("xn") == F.col("yn")) & (F.col("xa") > F.col("ya")))
+    met = x.join(y, "token").where(larger & (F.col("xcomp") != F.col("ycomp")) & (F.col("yn") * 100 >= F.col("xn") * PERCENT) & possible)
+    close = (F.col("xlevel") <= F.col("xmatches")) & (F.col("ylevel") <= F.col("xmatches"))
+    counted = met.groupBy("xa", "ya", "xn", "yn", "xmatches").agg(F.count(F.lit(1)).alias("c"), F.sum(close.cast("int")).alias("close"))
     return counted.where((F.col("close") >= F.col("xmatches")) & (F.col("c") + rest >= overlap)).select(F.col("xa").alias("x"), F.col("ya").alias("y"))
 
 
@@ -261,27 +295,18 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     classes = shared.written(
         rows.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("least_id")).withColumn("class", F.monotonically_increasing_id()))
     posted = shared_postings(postings(docs, levels))
-    links, labels = None, None
-
-    def join_in(found: DataFrame):
-        nonlocal links, labels
-        for s in "xy":
-            found = found.join(classes.select(F.col("a").alias(s + "a"), F.col("b").alias(s + "b"), F.col("class").alias(s)), [s + "a", s + "b"])
-        new = found.select(F.col("x").alias("u"), F.col("y").alias("v"))
-        links = shared.written(components(new if links is None else links.unionByName(new)).select(F.col("node").alias("u"), F.col("root").alias("v")))
-        named = classes.join(links, F.col("class") == F.col("u"), "left").select("a", F.coalesce("v", "class").alias("root"))
-        first = named.groupBy("root").agg(F.min("a").alias("label"))
-        labels = shared.written(named.join(first, "root").groupBy("a").agg(F.min("label").alias("root")).where("a <> root"))
-
+    found, labels = [], None
     for number in range(STAR_ROUNDS):
-        found = verified(docs, star_pairs(labelled(posted, labels), number))
-        if found.isEmpty():
+        found.append(verified(docs, star_pairs(labelled(posted, labels), number)))
+        if found[-1].isEmpty():
             break
-        join_in(found)
-    found = verified(docs, remaining_pairs(labelled(posted, labels)))
-    if links is None or not found.isEmpty():
-        join_in(found)
-    grouped = classes.join(links, F.col("class") == F.col("u"), "left").withColumn("group", F.coalesce("v", "class"))
+        labels = relabelled(labels, found[-1])
+    found.append(verified(docs, remaining_pairs(labelled(posted, labels))))
+    links = reduce(DataFrame.unionByName, found)
+    for s in "xy":
+        links = links.join(classes.select(F.col("a").alias(s + "a"), F.col("b").alias(s + "b"), F.col("class").alias(s)), [s + "a", s + "b"])
+    roots = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
+    grouped = classes.join(roots, F.col("class") == F.col("node"), "left").withColumn("group", F.coalesce("root", "class"))
     ids = grouped.groupBy("group").agg(F.min("least_id").alias("component"))
     # written first: the join of the rows has plain exchanges, and a class with a third of all rows can be split
     named = shared.written(grouped.join(ids, "group").select(F.col("a").alias("ca"), F.col("b").alias("cb"), "component"))
