@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLANKS = " \t\n\x0b\x0c\r"
-CHUNK_BYTES, CHUNK_ROWS = 4 << 20, 50_000
+CHUNK_BYTES, CHUNK_ROWS = 2 << 20, 50_000
 _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -142,11 +142,12 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     if not len(start):
         return Words(data, start, end, row, first, np.empty(0, np.uint64))
     length = end - start
-    at = np.cumsum(length) - length
+    at = (np.cumsum(length) - length).astype(np.int64)
     with np.errstate(over="ignore"):
         value = _byte_values(lower)[data[solid]]
         longest = int(length.max())
-        value *= _powers(1 << max(6, longest.bit_length()))[np.arange(len(value)) - np.repeat(at, length)]
+        short = np.int32 if len(value) < 1 << 31 else np.int64
+        value *= _powers(1 << max(6, longest.bit_length()))[np.arange(len(value), dtype=short) - np.repeat(at.astype(short), length)]
         value = mixed(np.add.reduceat(value, at) + length.astype(np.uint64))
     return Words(data, start, end, row, first, value)
 
@@ -174,7 +175,7 @@ def bit_table(keys: DataFrame, bits: int) -> np.ndarray:
     parts = keys.select(F.bitmap_bucket_number(at).alias("k"), F.bitmap_bit_position(at).alias("p")).groupBy("k").agg(
         F.bitmap_construct_agg("p").alias("b"))
     table = np.zeros(max(4096, (1 << bits) // 8), dtype=np.uint8)
-    for row in parts.toLocalIterator():
+    for row in parts.collect():  # ``2 ** bits`` bits in all
         table[(row["k"] - 1) * 4096:row["k"] * 4096] = np.frombuffer(row["b"], dtype=np.uint8)
     return table
 
