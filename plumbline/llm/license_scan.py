@@ -168,9 +168,10 @@ def paragraph_licences(docs: DataFrame) -> DataFrame:
     table = F.broadcast(docs.sparkSession.createDataFrame(rows, "gram string, " + ", ".join(f"{c} double" for c in columns)))
     # a document without such paragraphs stays as one row without a paragraph
     every = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line, i: F.struct(i.alias("paragraph"), line.alias("line")))
-    lines = docs.select(
-        F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"),
-        F.explode_outer(F.filter(every, lambda p: p["line"].rlike(TRIGGERS))).alias("p")).select("row_id", "doc_id", "p.paragraph", "p.line")
+    # numbered in a step of its own: inside the one that explodes, every line would get a number
+    numbered = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    lines = numbered.select("row_id", "doc_id", F.explode_outer(F.filter(every, lambda p: p["line"].rlike(TRIGGERS))).alias("p")).select(
+        "row_id", "doc_id", "p.paragraph", "p.line")
     words = F.regexp_extract_all(F.lower("line"), F.lit(f"({WORD})"))
     sizes = [_runs(n) for n in range(1, GRAM + 1)]
     split = lines.withColumn("words", words).withColumn("gram", F.explode_outer(F.array_distinct(F.concat(*sizes)))).drop("words")
