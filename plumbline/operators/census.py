@@ -4,30 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.columns import as_text, col, infos
 
-LONG_TEXT = 64
-
 
 def value_census(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``(column_name, value, n)`` for every distinct value of every column.
 
     Rows are combined before the shuffle, so a hot value travels once per map task. Numbers are
-    grouped as numbers and become text afterwards; long text is replaced by its MD5, so the shuffle
-    stays narrow. Missing values have a null ``value``.
+    grouped as numbers and become text afterwards, decimals keep all their digits, and text is grouped
+    whole at every length. Missing values have a null ``value``.
     """
     chosen = infos(df, columns)
 
     def entry(k, info):
         whole = col(info.name).cast("long") if info.kind == "integer" else F.lit(None).cast("long")
+        exact = isinstance(info.dtype, T.DecimalType)
         # adding zero makes minus zero and zero one value
-        real = col(info.name).cast("double") + F.lit(0.0) if info.kind == "float" else F.lit(None).cast("double")
+        real = col(info.name).cast("double") + F.lit(0.0) if info.kind == "float" and not exact else F.lit(None).cast("double")
         text = F.lit(None).cast("string")
         if info.kind not in ("integer", "float"):
             text = as_text(info)
-            if info.kind in ("text", "nested"):
-                text = F.when(F.length(text) > LONG_TEXT, F.concat(F.lit("md5:"), F.md5(text))).otherwise(text)
+        elif exact:
+            text = col(info.name).cast("string")
         return F.struct(F.lit(k).alias("c"), whole.alias("l"), F.nanvl(real, F.lit(None)).alias("d"), text.alias("s"))
 
     entries = F.array(*[entry(k, i) for k, i in enumerate(chosen)])

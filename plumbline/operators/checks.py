@@ -44,7 +44,6 @@ class Settings:
     key_null_share: float = 0.25
     placeholder_min_count: int = 5
     placeholder_min_share: float = 0.02
-    placeholder_top: int = 5
 
     def tag(self, info: ColumnInfo) -> str:
         given = (self.semantics or {}).get(info.name)
@@ -569,20 +568,17 @@ def case_findings(df: DataFrame, dataset: str, settings: Settings = Settings(),
 
 
 def systematic_placeholders(df: DataFrame, dataset: str, settings: Settings = Settings()) -> DataFrame:
-    """Placeholder tokens that recur: at least 5 rows and 2 % of a column, the 5 commonest each."""
+    """Placeholder tokens that recur: at least 5 rows and 2 % of a column."""
     from pyspark.sql import Window
 
     chosen = [i.name for i in infos(df) if i.kind == "text"]
     trimmed = df.select(*[F.lower(strip(col(c))).alias(c) for c in chosen])
     census = value_census(trimmed, chosen)
     totals = census.groupBy("column_name").agg(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).alias("n_checked"))
-    w = Window.partitionBy("column_name").orderBy(F.desc("n"), "value")
     return (
         census.filter(F.col("value").isin(*settings.placeholders))
         .join(F.broadcast(totals), "column_name")
         .filter((F.col("n") >= settings.placeholder_min_count) & (F.col("n") >= F.col("n_checked") * settings.placeholder_min_share))
-        .withColumn("rank", F.row_number().over(w))
-        .filter(F.col("rank") <= settings.placeholder_top)
         .select(F.lit(dataset).alias("dataset"), "column_name", F.lit("systematic_placeholder").alias("issue_type"),
                 F.lit("medium").alias("severity"), F.col("value").alias("token"), F.col("n").alias("n_bad"), "n_checked",
                 share(F.col("n"), F.col("n_checked")).alias("pct"))

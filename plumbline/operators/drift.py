@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import ColumnInfo, as_text, col, infos, row_fingerprint
 from plumbline.operators.profile import column_profile
+from plumbline.sources.readers import sample_rows as sample_rows_of
 
 # Drift policy.
 ROW_COUNT_RELATIVE = 0.15
@@ -183,17 +184,17 @@ def frame_diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFram
     )
 
 
-def sql_preview(tables: dict[str, DataFrame], statement: str, sample_rows: int | None = 5000, limit: int | None = 50) -> DataFrame:
-    """Run one SELECT over samples of the tables (a preview is a limit by definition).
+def sql_preview(tables: dict[str, DataFrame], statement: str, sample_rows: int | None = None, limit: int | None = None) -> DataFrame:
+    """Run one SELECT over the tables, which become temporary views of their names.
 
-    ``sample_rows=None`` and ``limit=None`` run the statement over whole tables.
+    ``sample_rows`` takes about so many rows of each table, the same ones every time; ``limit`` cuts the result.
     """
     text = statement.strip().rstrip(";")
     if ";" in text or text.split(None, 1)[0].lower() not in ("select", "with"):
         raise ValueError("a preview accepts one SELECT statement")
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
-        (df if sample_rows is None else df.limit(sample_rows)).createOrReplaceTempView(name)
+        (df if sample_rows is None else sample_rows_of(df, sample_rows)).createOrReplaceTempView(name)
     out = spark.sql(text)
     return out if limit is None else out.limit(limit)
 

@@ -123,8 +123,9 @@ def apply_config_tables(df: DataFrame, column: str, invalid: DataFrame | None =
     out = df
     value = col(column)
     if invalid is not None:
-        listed = invalid.select(F.col("value").alias("_bad"), F.lit(True).alias("_hit")).distinct()
-        out = out.join(listed, F.lower(F.trim(value.cast("string"))) == F.lower(F.trim("_bad")), "left").drop("_bad")
+        # spellings of one value are one entry: they must not multiply the rows
+        listed = invalid.select(F.lower(F.trim("value")).alias("_bad")).distinct().withColumn("_hit", F.lit(True))
+        out = out.join(listed, F.lower(F.trim(value.cast("string"))) == F.col("_bad"), "left").drop("_bad")
         value = F.when(F.col("_hit").isNull(), value)
     if default is not None:
         out = out.crossJoin(F.broadcast(default.agg(F.first("value").alias("_default"))))

@@ -4,6 +4,7 @@ return the new state; writing is a thin step on top."""
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,20 +44,51 @@ def advance_watermark(state: DataFrame, process: str, df: DataFrame, watermark:
 
 # --- merges --------------------------------------------------------------------------------------
 
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    """Equality of keys in which null is a value; ``right`` carries the keys as ``_key_<name>``."""
+    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"_key_{k}"]) for k in keys])
+
+
+def renamed_keys(df: DataFrame, keys: list[str]) -> list[Column]:
+    return [df[k].alias(f"_key_{k}") for k in keys]
+
+
+def one_per_key(staged: DataFrame, keys: list[str], latest_by: str | None = None) -> DataFrame:
+    """One row per key, null keys included: the latest, ties and missing order by the largest other values."""
+    rest = [i.name for i in infos(staged) if i.name not in (*keys, latest_by) and i.kind != "nested"]
+    order = [F.desc_nulls_last(col(c)) for c in [*([latest_by] if latest_by else []), *rest]] or [F.lit(0)]
+    w = Window.partitionBy(*[col(k) for k in keys]).orderBy(*order)
+    return staged.withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").drop("_nth")
+
+
+def without_late(target: DataFrame, staged: DataFrame, keys: list[str], latest_by: str) -> DataFrame:
+    """Staged rows that are not older than what the target holds of their key."""
+    held = target.groupBy(*renamed_keys(target, keys)).agg(F.max(latest_by).alias("_held"))
+    return staged.join(held, same_keys(staged, held, keys), "left").filter(
+        F.col("_held").isNull() | (staged[latest_by] >= F.col("_held"))).select(*[staged[c] for c in staged.columns])
+
+
 def merge_scd1(target: DataFrame, staged: DataFrame, keys: list[str], mode: str = "incremental") -> DataFrame:
-    """Full: the staged table replaces the target. Incremental: matching keys are replaced."""
+    """Full: the staged table replaces the target. Incremental: matching keys are replaced.
+
+    Null keys match null keys. Of several staged rows of a key one is taken (``one_per_key``).
+    """
     if mode == "full":
         return staged
-    kept = target.join(staged.select(*keys).distinct(), keys, "left_anti")
+    staged = one_per_key(staged, keys)
+    touched = staged.select(*renamed_keys(staged, keys)).distinct()
+    kept = target.join(touched, same_keys(target, touched, keys), "left_anti")
     return kept.unionByName(staged, allowMissingColumns=True)
 
 
 def merge_scd2(target: DataFrame, staged: DataFrame, keys: list[str], as_of: str, mode: str = "always") -> DataFrame:
     """Expire the current row of every staged key and append the new current row.
 
+    Null keys match null keys, and of several staged rows of a key one is taken (``one_per_key``).
     ``only_changed`` leaves keys alone whose attributes hash to the same value. Only the current
     rows take part in the join; history passes through untouched.
     """
+    staged = one_per_key(staged, keys)
     attributes = [c for c in staged.columns if c not in keys]
     start = F.to_timestamp(F.lit(as_of))
     history, current = target.filter(~F.col("is_current")), target.filter("is_current")
@@ -65,11 +97,12 @@ def merge_scd2(target: DataFrame, staged: DataFrame, keys: list[str], as_of: str
         def fingerprint(df):
             return F.struct(*row_fingerprint([i for i in infos(df) if i.name in attributes]))
 
-        known = current.select(*keys, fingerprint(current).alias("_old"))
-        new = staged.withColumn("_new", fingerprint(staged)).join(known, keys, "left").filter(
+        known = current.select(*renamed_keys(current, keys), fingerprint(current).alias("_old"))
+        marked = staged.withColumn("_new", fingerprint(staged))
+        new = marked.join(known, same_keys(marked, known, keys), "left").filter(
             F.col("_old").isNull() | (F.col("_old") != F.col("_new"))).select(*staged.columns)
-    touched = new.select(*keys, F.lit(True).alias("_touched")).distinct()
-    expired = current.join(touched, keys, "left").withColumn(
+    touched = new.select(*renamed_keys(new, keys), F.lit(True).alias("_touched")).distinct()
+    expired = current.join(touched, same_keys(current, touched, keys), "left").drop(*[f"_key_{k}" for k in keys]).withColumn(
         "valid_to", F.when(F.col("_touched"), start).otherwise(F.col("valid_to"))
     ).withColumn("is_current", F.col("_touched").isNull()).drop("_touched")
     opened = new.withColumn("valid_from", start).withColumn("valid_to", F.to_timestamp(F.lit(OPEN_END))).withColumn("is_current", F.lit(True))
@@ -192,6 +225,23 @@ def assert_loaded(target: DataFrame, staged: DataFrame) -> DataFrame:
     return a.crossJoin(F.broadcast(b)).withColumn("ok", ~((F.col("staged_has") > 0) & (F.col("target_has") == 0)))
 
 
+def require_loaded(target: DataFrame, staged: DataFrame) -> None:
+    """Fails the load when staging has rows and the target is empty."""
+    if not assert_loaded(target, staged).first()["ok"]:
+        raise ValueError("staging has rows but the target is empty")
+
+
+def append_run_log(entry: DataFrame, path: str) -> None:
+    """Adds start, end, status or error of a run to the log."""
+    entry.coalesce(1).write.mode("append").parquet(path)
+
+
+def last_runs(spark, path: str) -> DataFrame:
+    """The last entry of every process in the log."""
+    w = Window.partitionBy("process").orderBy(F.desc("started"), F.desc_nulls_last("ended"))
+    return spark.read.parquet(path).withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").drop("_nth")
+
+
 def run_log_row(spark, process: str, started: str, ended: str | None, status: str, error: str | None = None) -> DataFrame:
     return spark.createDataFrame([(process, started, ended, status, error)],
                                  "process string, started string, ended string, status string, error string").select(

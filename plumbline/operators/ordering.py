@@ -37,6 +37,7 @@ def exact_percentiles(
         *[F.col(f"{n}__s")[i].alias(f"{n}__lo{i}") for n, i in targets],
         *[F.col(f"{n}__s")[k + i].alias(f"{n}__hi{i}") for n, i in targets],
     )
+    sketch = held(sketch)  # first scan
     counted = base.crossJoin(F.broadcast(sketch)).agg(
         *[F.count_if(F.col(n) < F.col(f"{n}__lo{i}")).alias(f"{n}__b{i}") for n, i in targets],
         *[F.count_if(F.col(n) <= F.col(f"{n}__hi{i}")).alias(f"{n}__u{i}") for n, i in targets],
@@ -58,9 +59,9 @@ def exact_percentiles(
             F.when(low_open, F.lit(0)).otherwise(F.col(f"{n}__b{i}")).alias("before"),
         )
 
-    # Both uses of the sketch need all its columns, so Spark reuses its exchange. The state is one
-    # array column: with a column per field the optimizer's constraint sets grow beyond use.
+    # The state is one array column: with a column per field the optimizer's constraint sets grow beyond use.
     state = counted.crossJoin(F.broadcast(sketch)).select(F.array(*[target(n, i) for n, i in targets]).alias("t"))
+    state = held(state)  # second scan
     place = {target: j for j, target in enumerate(targets)}
 
     def at_target(n, i, field):
@@ -119,6 +120,11 @@ def exact_percentiles(
     ])
 
 
+def held(one_row: DataFrame) -> DataFrame:
+    """A result of one row, computed now: what is built on it does not scan the input again."""
+    return one_row.sparkSession.createDataFrame(one_row.limit(2).collect(), one_row.schema)
+
+
 def quantile_chunks(df: DataFrame, value: Column, part: list[str] | None = None, side: int = 32) -> DataFrame:
     """Add ``_chunk``: the number of the value's quantile range, ``side ** 2`` ranges per ``part``.
 

@@ -352,9 +352,9 @@ def phone_format_census(df: DataFrame, column: str) -> DataFrame:
 def null_patterns(df: DataFrame, dataset: str, column: str, category_columns: list[str]) -> DataFrame:
     """Are the nulls of a column tied to one value of a category column (share above 80 %)?"""
     target = F.col("_null")
-    entries = F.array(*[F.struct(F.lit(c).alias("cat_col"), col(c).alias("cat_val")) for c in category_columns[:5]])
+    entries = F.array(*[F.struct(F.lit(c).alias("cat_col"), col(c).alias("cat_val")) for c in category_columns])
     flagged = df.select(
-        missing(next(i for i in infos(df) if i.name == column)).alias("_null"), *[col(c) for c in category_columns[:5]]
+        missing(next(i for i in infos(df) if i.name == column)).alias("_null"), *[col(c) for c in category_columns]
     )
     by_value = (
         flagged.select("_null", F.inline(entries)).filter("cat_val IS NOT NULL")

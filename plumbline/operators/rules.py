@@ -13,8 +13,6 @@ from plumbline.functions.columns import any_word, as_double, as_timestamp, col,
 from plumbline.operators.checks import finish_issues
 from plumbline.operators.profile import aggregate_long
 
-INLINE_LIST = 1000
-
 
 def matches_column(key: str, dataset: str, column: str) -> bool:
     """``dataset.column`` or any dotted key that ends in it; a bare name fits every dataset."""
@@ -59,7 +57,7 @@ def rule_predicates(df: DataFrame, dataset: str, rules: list[dict]) -> list[dict
         if kind == "valid_values":
             for key, allowed in rule["values"].items():
                 for name in df.columns:
-                    if matches_column(key, dataset, name) and len(allowed) <= INLINE_LIST:
+                    if matches_column(key, dataset, name):
                         c = F.lower(col(name).cast("string"))
                         add(rule, "invalid_lookup_value", name, ~c.isin(*[str(v).lower() for v in allowed]), col(name).isNotNull())
         elif kind == "assertion":
@@ -128,23 +126,13 @@ def rule_predicates(df: DataFrame, dataset: str, rules: list[dict]) -> list[dict
 
 
 def apply_rules(df: DataFrame, dataset: str, rules: list[dict]) -> DataFrame:
-    """Issues for all rules from one aggregate scan; long value lists join instead."""
+    """Issues for all rules from one aggregate scan; a value list of any length is one hash set per task."""
     rows = [
         {"dataset": dataset, "column_name": p["column"], "issue_type": p["issue_type"],
          "severity": p["severity"], "n_bad": F.count_if(p["bad"]), "n_checked": F.count_if(p["checked"])}
         for p in rule_predicates(df, dataset, rules)
     ]
-    found = finish_issues(aggregate_long(df, rows).filter("n_bad > 0")) if rows else None
-    for rule in rules:
-        if rule["type"] != "valid_values":
-            continue
-        for key, allowed in rule["values"].items():
-            for name in df.columns:
-                if matches_column(key, dataset, name) and len(allowed) > INLINE_LIST:
-                    listed = df.sparkSession.createDataFrame([(str(v),) for v in allowed], "value string")
-                    part = lookup_issues(df, dataset, name, listed, rule.get("severity", "medium"))
-                    found = part if found is None else found.unionByName(part)
-    return found
+    return finish_issues(aggregate_long(df, rows).filter("n_bad > 0")) if rows else None
 
 
 def lookup_issues(df: DataFrame, dataset: str, column: str, allowed: DataFrame, severity: str = "medium") -> DataFrame:

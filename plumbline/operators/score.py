@@ -190,15 +190,19 @@ def verdict_rollup(verdicts: DataFrame) -> DataFrame:
         "overall", F.when(F.col("fail") > 0, "FAIL").when(F.col("warn") > 0, "WARN").otherwise("PASS"))
 
 
-def executive_summary(issues: DataFrame, top: int = 8) -> DataFrame:
-    """Most important signals first: severity weight times spread over datasets (a top-k report)."""
+def executive_summary(issues: DataFrame, top: int | None = None) -> DataFrame:
+    """Most important signals first: severity weight times spread over datasets; ``top`` makes it a top-k report."""
     roll = issues.groupBy("issue_type", "column_name").agg(
         F.count_distinct("dataset").alias("datasets_affected"), F.sum("n_bad").alias("rows_affected"),
         F.max(severity_rank()).alias("_rank"))
     score = F.greatest(F.col("_rank"), F.lit(1)) * (1.0 + F.least(F.lit(3.0), F.col("datasets_affected") / 2.0))
     return roll.select("issue_type", "column_name", severity_name(F.col("_rank")).alias("severity"), "datasets_affected",
                        "rows_affected", score.alias("score")).orderBy(
-        F.desc("score"), F.desc("datasets_affected"), F.desc("rows_affected"), "issue_type", "column_name").limit(top)
+        F.desc("score"), F.desc("datasets_affected"), F.desc("rows_affected"), "issue_type", "column_name").transform(_first(top))
+
+
+def _first(top: int | None):
+    return lambda df: df if top is None else df.limit(top)
 
 
 def risk_points(c: str = "severity") -> Column:
@@ -206,11 +210,11 @@ def risk_points(c: str = "severity") -> Column:
     return F.when(s.isin("CRITICAL", "BLOCKER"), 10).when(s == "HIGH", 6).when(s == "MEDIUM", 3).otherwise(1)
 
 
-def column_risk(issues: DataFrame, top: int = 8) -> DataFrame:
+def column_risk(issues: DataFrame, top: int | None = None) -> DataFrame:
     return issues.groupBy("column_name").agg(
         F.sum(risk_points()).alias("risk_score"),
         F.array_join(F.array_sort(F.collect_set("issue_type")), ",").alias("issue_types"),
-    ).orderBy(F.desc("risk_score"), "column_name").limit(top)
+    ).orderBy(F.desc("risk_score"), "column_name").transform(_first(top))
 
 
 def triage(issues: DataFrame, datasets: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,11 +26,13 @@ SUBTYPES = {
     "date": ("date", "none", "none", ("parse_dates",)),
     "ip_address": ("id", "low", "flag", ("trim",)),
     "url": ("string", "none", "flag", ("trim",)),
+    "etl_metadata": ("metadata", "none", "none", ()),
     "metric": ("metric", "none", "fill_zero", ("coerce_numeric",)),
     "text": ("string", "none", "fill_mode", ("trim",)),
 }
 # Name rules in order of precedence.
 NAME_RULES = (
+    ("etl_metadata", ("etl", "dwh", "load_id", "batch_id", "ingested_at", "loaded_at")),
     ("email", ("email", "mail")),
     ("phone", fv.PHONE_NAME_HINTS),
     ("ssn", ("ssn", "social", "sin")),
@@ -46,7 +48,8 @@ NAME_RULES = (
 
 
 def _has(words) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(F.lower("column_name"), F.lit(w)) for w in words])
+    """Whether the column name has one of the words, as a word of its own or in the plural."""
+    return F.lower("column_name").rlike("(^|[^a-z0-9])(" + "|".join(re.escape(w.strip("_")) for w in words) + ")s?($|[^a-z0-9])")
 
 
 def describe(shares: DataFrame, key_candidates: tuple[str, ...] = ()) -> DataFrame:
@@ -70,7 +73,7 @@ def describe(shares: DataFrame, key_candidates: tuple[str, ...] = ()) -> DataFra
     rule = F.coalesce(by_value, by_name, by_dtype)
     table = F.create_map(*[x for sub, (st, pii, fill, hints) in SUBTYPES.items() for x in (
         F.lit(sub), F.struct(F.lit(st).alias("semantic_type"), F.lit(pii).alias("pii_level"), F.lit(fill).alias("fill_strategy"),
-                             F.array(*[F.lit(h) for h in hints]).alias("transform_hints")))])
+                             F.array(*[F.lit(h) for h in hints]).cast("array<string>").alias("transform_hints")))])
     d = shares.withColumn("_sub", rule).withColumn("_d", table[F.col("_sub")])
     key_named = F.lower("column_name").rlike("(id|key)$")
     is_id = F.col("_d.semantic_type") == "id"

@@ -315,7 +315,7 @@ def _(t):
 @query("check_systematic_placeholder", "C64", union_sql([f"""
 SELECT * FROM (SELECT 'contacts' AS dataset, '{c}' AS column_name, 'systematic_placeholder' AS issue_type, 'medium' AS severity, tok AS token, k AS n_bad, n AS n_checked,
  round(k / CAST(n AS DOUBLE), 6) AS pct FROM (SELECT lower({trimmed(c)}) AS tok, count(*) AS k, (SELECT count({c}) FROM contacts) AS n FROM contacts WHERE {c} IS NOT NULL GROUP BY 1) g
- WHERE tok IN {PLACEHOLDERS} AND k >= 5 AND k >= 0.02 * n ORDER BY k DESC, tok LIMIT 5) z""" for c in TEXT]))
+ WHERE tok IN {PLACEHOLDERS} AND k >= 5 AND k >= 0.02 * n) z""" for c in TEXT]))
 def _(t):
     return checks.systematic_placeholders(t["contacts"], "contacts", SETTINGS)
 

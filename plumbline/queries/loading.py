@@ -10,6 +10,7 @@ from plumbline.operators import load
 from plumbline.operators.load import LoadRules
 from plumbline.operators.transforms import prefix_columns
 from plumbline.queries.profiling import parsed_sql
+from plumbline.session import scratch_dir
 from plumbline.queries.registry import matches, query
 
 _FK = "cust_id IN (SELECT c_custkey FROM customer)"
@@ -250,7 +251,14 @@ def _(t):
 
 
 @query("load_run_log", "J13", """
-SELECT 'orders' AS process, 'ok' AS status, CAST(NULL AS VARCHAR) AS error, (SELECT count(*) FROM orders) AS rows_loaded""")
+SELECT o_orderstatus AS process, 'ok' AS status, count(*) AS rows_loaded FROM orders GROUP BY o_orderstatus""")
 def _(t):
-    row = load.run_log_row(t.spark, "orders", "2024-06-01 00:00:00", "2024-06-01 00:05:00", "ok")
-    return row.crossJoin(F.broadcast(t["orders"].agg(F.count(F.lit(1)).alias("rows_loaded")))).select("process", "status", "error", "rows_loaded")
+    # one load per order status, each logged when it starts and when it ends; the log is read back
+    path = scratch_dir(t.spark) + "/log"
+    loads = t["orders"].groupBy(F.col("o_orderstatus").alias("process")).agg(F.count(F.lit(1)).alias("rows_loaded"))
+    for ended, status in ((None, "running"), ("2024-06-01 00:05:00", "ok")):
+        load.append_run_log(loads.select(
+            "process", F.to_timestamp(F.lit("2024-06-01 00:00:00")).alias("started"), F.to_timestamp(F.lit(ended)).alias("ended"),
+            F.lit(status).alias("status"), F.lit(None).cast("string").alias("error"), "rows_loaded"), path)
+    return load.last_runs(t.spark, path).select("process", "status", "rows_loaded")
+

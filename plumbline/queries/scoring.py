@@ -284,14 +284,14 @@ def _(t):
 @query("summary_executive", "G8", f"""
 SELECT issue_type, column_name, CASE r WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity, d AS datasets_affected, CAST(b AS BIGINT) AS rows_affected,
  r * (1.0 + least(3.0, d / 2.0)) AS score FROM (SELECT issue_type, column_name, max({_RANK}) AS r, count(DISTINCT dataset) AS d, sum(n_bad) AS b FROM {ISSUES} GROUP BY 1, 2) x
-ORDER BY score DESC, d DESC, b DESC, issue_type, column_name LIMIT 8""".replace("least(3.0, d / 2.0)", "least(CAST(3 AS DOUBLE), d / 2.0)"))
+ORDER BY score DESC, d DESC, b DESC, issue_type, column_name""".replace("least(3.0, d / 2.0)", "least(CAST(3 AS DOUBLE), d / 2.0)"))
 def _(t):
     return score.executive_summary(issues(t))
 
 
 @query("summary_column_risk", "G9", f"""
 SELECT column_name, CAST(sum({_POINTS}) AS BIGINT) AS risk_score, string_agg(DISTINCT issue_type, ',' ORDER BY issue_type) AS issue_types FROM {ISSUES}
-GROUP BY column_name ORDER BY risk_score DESC, column_name LIMIT 8""")
+GROUP BY column_name ORDER BY risk_score DESC, column_name""")
 def _(t):
     return score.column_risk(issues(t))
 

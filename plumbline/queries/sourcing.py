@@ -178,7 +178,7 @@ def _(t):
     base = scratch_dir(t.spark)
     rows = stream_of(t, "events").select("user_id", "ts", "event_type", "value")
     streams.upsert_stream(rows, base + "/users", ["user_id"], base + "/ck", latest_by="ts", buckets=8).awaitTermination()
-    return t.spark.read.parquet(base + "/users").select("user_id", "event_type", "value")
+    return streams.read_merged(t.spark, base + "/users").select("user_id", "event_type", "value")
 
 
 @query("stream_scd2_upsert", "K5", """
@@ -194,7 +194,7 @@ def _(t):
     q = later.writeStream.foreachBatch(lambda df, b: streams.merge_into_buckets(
         _latest(df), base + "/users", ["user_id"], lambda old, new: streams.merge_scd2(old, new, ["user_id"], "2024-06-01 00:00:00"), b + offset, 8))
     q.option("checkpointLocation", base + "/ck2").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(base + "/users").select("user_id", "event_type", "is_current")
+    return streams.read_merged(t.spark, base + "/users").select("user_id", "event_type", "is_current")
 
 
 def _latest(df):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +31,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     )
 
 
+def _local_folder(spark: SparkSession, prefix: str) -> str:
+    """A temporary folder, in a local session only: other machines would not see it."""
+    master = spark.conf.get("spark.master", "local")
+    if master.split("[")[0] != "local":
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
+    folder = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the cluster's shared folder.
 
@@ -38,7 +50,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         configured = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="plumbline-ckpt-"))
+        sc.setCheckpointDir(configured or _local_folder(spark, "plumbline-ckpt-"))
     return df.checkpoint(eager=True)
 
 
@@ -48,5 +60,5 @@ def scratch_dir(spark: SparkSession) -> str:
 
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        return tempfile.mkdtemp(prefix="plumbline-")
+        return _local_folder(spark, "plumbline-")
     return f"{base.rstrip('/')}/plumbline-{uuid.uuid4().hex}"

@@ -11,40 +11,44 @@ from pyspark.sql import types as T
 
 from plumbline.functions.columns import as_text, infos
 
-HASH_RANGE = 1_000_000
+CORRUPT_LINE = "_corrupt_line"
+HASH_BITS = 53  # of a row's hash that are compared with a sampling rate
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", schema: str | None = None) -> DataFrame:
-    """CSV or TSV with a header. Give a schema for large inputs: inference reads the file twice."""
-    reader = spark.read.option("header", True).option("sep", sep).option("multiLine", False)
+def read_csv(spark: SparkSession, path: str, sep: str = ",", schema: str | None = None, quoted_newlines: bool = True) -> DataFrame:
+    """CSV or TSV with a header; quotes are doubled inside quotes.
+
+    Give a schema for large inputs: inference reads the file twice. Files without line ends inside
+    quotes can be split over tasks with ``quoted_newlines=False``.
+    """
+    reader = spark.read.option("header", True).option("sep", sep).option("multiLine", quoted_newlines).option("escape", '"')
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
 def csv_header(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
     """Raw header names, duplicates included (Spark renames those when it reads)."""
-    first = spark.read.text(path).limit(1).collect()
-    return first[0][0].split(sep) if first else []
+    first = spark.read.option("header", False).option("sep", sep).option("escape", '"').csv(path).limit(1).collect()
+    return [name or "" for name in first[0]] if first else []
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """JSON lines; a line that does not parse keeps its text in ``value``."""
-    reader = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "value")
+    """JSON lines; a line that does not parse keeps its text in ``value``, or in ``CORRUPT_LINE`` if the data has a ``value``."""
+    reader = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT_LINE)
     if schema is not None:
-        names = [f.name for f in schema.fields]
-        full = schema if "value" in names else T.StructType([*schema.fields, T.StructField("value", T.StringType())])
-        return reader.schema(full).json(path)
-    return reader.json(path)
+        reader = reader.schema(T.StructType([*schema.fields, T.StructField(CORRUPT_LINE, T.StringType())]))
+    rows = reader.json(path)
+    return rows if "value" in rows.columns else rows.withColumnRenamed(CORRUPT_LINE, "value")
 
 
-def read_json_document(spark: SparkSession, path: str) -> DataFrame:
-    """JSON documents: rows are the first list of objects found at most four levels deep."""
-    return explode_document(spark.read.option("multiLine", True).json(path))
+def read_json_document(spark: SparkSession, path: str, list_path: list[str] | None = None) -> DataFrame:
+    """JSON documents: rows are the list of objects at ``list_path``, or else the one that is least deep."""
+    return explode_document(spark.read.option("multiLine", True).json(path), list_path)
 
 
-def find_list_path(schema: T.StructType, depth: int = 4) -> list[str] | None:
-    """Breadth-first path to the first array of structs."""
+def find_list_path(schema: T.StructType) -> list[str] | None:
+    """Breadth-first path to the first array of structs, at any depth."""
     level = [([], schema)]
-    for _ in range(depth):
+    while level:
         following = []
         for path, struct in level:
             for f in struct.fields:
@@ -56,9 +60,9 @@ def find_list_path(schema: T.StructType, depth: int = 4) -> list[str] | None:
     return None
 
 
-def explode_document(df: DataFrame) -> DataFrame:
-    """Explode the first list of objects; scalar ancestors become columns, structs open one level."""
-    path = find_list_path(df.schema)
+def explode_document(df: DataFrame, list_path: list[str] | None = None) -> DataFrame:
+    """Explode a list of objects (see ``find_list_path``); scalar ancestors become columns, structs open one level."""
+    path = list_path or find_list_path(df.schema)
     if path is None:
         return open_structs(df)
     carried: list[Column] = []
@@ -102,9 +106,23 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _first_table(html: Column) -> Column:
+    """Inside of the first table, with the tags of tables nested in it blanked out."""
+
+    def step(state: Column, piece: Column) -> Column:
+        opens, closes = piece.rlike("(?i)^<table"), piece.rlike("(?i)^</table")
+        depth = state["depth"] + F.when(opens, 1).when(closes & (state["depth"] > 0), -1).otherwise(0)
+        body = F.regexp_replace(piece, "(?is)^</?table[^>]*>", "")
+        kept = F.when(state["done"] | (depth == 0), "").when(depth == 1, body).otherwise(F.regexp_replace(body, "<[^>]*>", " "))
+        return F.struct(depth.cast("int").alias("depth"), (state["done"] | (closes & (depth == 0))).alias("done"), F.concat(state["out"], kept).alias("out"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("done"), F.lit("").alias("out"))
+    return F.aggregate(F.split(html, "(?i)(?=</?table)"), start, step, lambda state: state["out"])
+
+
 def html_table_rows(df: DataFrame, key: str, html: str) -> DataFrame:
-    """Cells of the first table of each page: ``(key, row_no, col_no, value)``."""
-    table = F.regexp_extract(F.col(html), r"(?is)<table[^>]*>(.*?)</table>", 1)
+    """Cells of the first table of each page: ``(key, row_no, col_no, value)``; a table inside a cell is text of that cell."""
+    table = _first_table(F.col(html))
     row_list = F.regexp_extract_all(F.col("_table"), F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1)
     cell_list = F.regexp_extract_all(F.col("_row"), F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), 1)
     rows = df.select(key, table.alias("_table")).select(key, F.posexplode(row_list).alias("row_no", "_row"))
@@ -122,11 +140,14 @@ def sample_share(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, max_rows: int, keys: list[str] | None = None, seed: int = 42) -> DataFrame:
-    """About ``max_rows`` rows, the same ones every time: a hash of the row against the rate."""
+    """About ``max_rows`` rows, the same ones every time: a hash of the row against the rate.
+
+    ``reservoir`` gives an exact number.
+    """
     chosen = infos(df, keys) if keys else infos(df)
-    slot = F.pmod(F.xxhash64(F.lit(seed), *[as_text(i) for i in chosen]), F.lit(HASH_RANGE))
+    slot = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[as_text(i) for i in chosen]), 64 - HASH_BITS) / F.lit(float(1 << HASH_BITS))
     total = df.agg(F.count(F.lit(1)).alias("_total"))
-    return df.crossJoin(F.broadcast(total)).filter(slot * F.col("_total") < F.lit(max_rows).cast("long") * F.lit(HASH_RANGE).cast("long")).drop("_total")
+    return df.crossJoin(F.broadcast(total)).filter(slot * F.col("_total") < F.lit(max_rows)).drop("_total")
 
 
 def reservoir(df: DataFrame, k: int, keys: list[str] | None = None, seed: int = 42) -> DataFrame:

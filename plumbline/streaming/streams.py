@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.functions.columns import col
 from plumbline.operators.checks import Settings, run_row_checks
-from plumbline.operators.load import LoadRules, clean_values, merge_scd1, merge_scd2, tag_rejects
-from plumbline.session import checkpoint
+from plumbline.operators.load import LoadRules, clean_values, merge_scd1, merge_scd2, one_per_key, tag_rejects, without_late
 
 
 def _start(writer, checkpoint_path: str, once: bool) -> StreamingQuery:
@@ -80,40 +81,72 @@ def write_stream(stream: DataFrame, path: str, checkpoint_path: str, once: bool
 
 # --- merges -----------------------------------------------------------------------------------------
 
+def _log(spark: SparkSession, path: str) -> DataFrame | None:
+    """Committed (version, bucket, buckets) of a merged table; None before the first commit."""
+    try:
+        return spark.read.parquet(f"{path}/log")
+    except AnalysisException:  # no folder, or one that holds only what a lost write left
+        return None
+
+
+def read_merged(spark: SparkSession, path: str, buckets: list[int] | None = None) -> DataFrame:
+    """The current rows of a table written by ``merge_into_buckets``: of each bucket the last committed version."""
+    log = _log(spark, path)
+    if log is None:
+        raise ValueError(f"no committed version in {path}")
+    latest = log.groupBy("bucket").agg(F.max("version").alias("version"))
+    current: dict[int, list[int]] = {}
+    for r in latest.collect():  # one row per bucket
+        if buckets is None or r["bucket"] in buckets:
+            current.setdefault(r["version"], []).append(r["bucket"])
+    parts = [spark.read.parquet(f"{path}/data/version={v}").filter(F.col("_bucket").isin(bs)) for v, bs in sorted(current.items())]
+    if not parts:
+        newest = log.agg(F.max("version")).first()[0]
+        parts = [spark.read.parquet(f"{path}/data/version={newest}").limit(0)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).drop("_bucket")
+
+
 def merge_into_buckets(staged: DataFrame, path: str, keys: list[str], merge: Callable[[DataFrame | None, DataFrame], DataFrame],
                        batch_id: int, buckets: int = 64) -> None:
-    """Merge a batch into a parquet table that is partitioned by a hash of the key.
+    """Merge a batch into a parquet table that is cut into buckets by a hash of the key; ``read_merged`` reads it.
 
-    Only the buckets the batch touches are read and rewritten. The merged rows are checkpointed
-    before they replace the files they were read from. Every row remembers the batch that wrote it,
-    so a batch that is replayed after a lost driver changes nothing.
+    Only the buckets the batch touches are read. Their new state is a version of its own beside the old ones,
+    and becomes current when the log names it, in one small file. A batch that is lost half-way leaves nothing
+    that counts, and one that is replayed after its commit changes nothing. Batch ids must grow. The number of
+    buckets is that of the first batch, whatever a later call says.
     """
     spark = staged.sparkSession
+    log = _log(spark, path)
+    if log is not None:
+        if not log.filter(F.col("version") == batch_id).isEmpty():
+            return
+        buckets = log.first()["buckets"]
     bucket = F.pmod(F.xxhash64(*[col(k) for k in keys]), F.lit(buckets)).cast("int")
-    new = staged.withColumn("_bucket", bucket).withColumn("_batch", F.lit(batch_id).cast("long"))
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        merge(None, new).write.partitionBy("_bucket").mode("overwrite").parquet(path)
-        return
-    touched = [r[0] for r in new.select("_bucket").distinct().collect()]  # at most `buckets` numbers
+    touched = [r[0] for r in staged.select(bucket.alias("b")).distinct().collect()]  # at most ``buckets`` numbers
     if not touched:
         return
-    target = spark.read.parquet(path).filter(F.col("_bucket").isin(touched))
-    done = target.filter(F.col("_batch") == batch_id).select(*keys).distinct()
-    merged = checkpoint(merge(target, new.join(done, keys, "left_anti")))
-    merged.write.option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").mode("overwrite").parquet(path)
+    target = None if log is None else read_merged(spark, path, touched)
+    merged = merge(target, staged).withColumn("_bucket", bucket)
+    merged.write.partitionBy("_bucket").mode("overwrite").parquet(f"{path}/data/version={batch_id}")
+    entry = spark.createDataFrame([(batch_id, b, buckets) for b in sorted(touched)], "version long, bucket int, buckets int")
+    entry.coalesce(1).write.mode("append").parquet(f"{path}/log")
 
 
 def upsert_stream(stream: DataFrame, path: str, keys: list[str], checkpoint_path: str, latest_by: str | None = None,
                   scd: int = 1, as_of: Callable[[int], str] | None = None, buckets: int = 64, once: bool = True) -> StreamingQuery:
-    """SCD type 1 or 2 merge of every micro-batch. ``as_of(batch_id)`` dates the type 2 change."""
+    """SCD type 1 or 2 merge of every micro-batch. ``as_of(batch_id)`` dates the type 2 change.
+
+    With ``latest_by`` a late row, older than the stored row of its key, changes nothing.
+    """
     from plumbline.operators.integrity import keep_latest
     from plumbline.operators.load import start_scd2
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        staged = keep_latest(batch, keys, latest_by, [c for c in batch.columns if c not in (*keys, latest_by)]) if latest_by else batch.dropDuplicates(keys)
+        staged = keep_latest(batch, keys, latest_by, [c for c in batch.columns if c not in (*keys, latest_by)]) if latest_by else one_per_key(batch, keys)
 
         def merge(target, new):
+            if target is not None and latest_by:
+                new = without_late(target, new, keys, latest_by)
             if scd == 1:
                 return new if target is None else merge_scd1(target, new, keys)
             moment = as_of(batch_id)
