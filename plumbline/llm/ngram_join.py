@@ -170,8 +170,7 @@ def postings(docs: DataFrame, levels: np.ndarray) -> DataFrame:
 def shared_postings(posted: DataFrame) -> DataFrame:
     """The postings whose shingle lies in the prefix of another class too, each once."""
     by_token = Window.partitionBy("token").orderBy("a")
-    whole = Window.partitionBy("token")
-    marked = posted.withColumns({"next": F.lead("a").over(by_token), "least": F.first("a").over(by_token), "spread": F.count(F.lit(1)).over(whole)})
+    marked = posted.withColumns({"next": F.lead("a").over(by_token), "least": F.first("a").over(by_token)})
     once = marked.where(F.col("next").isNull() | (F.col("next") != F.col("a")))
     return shared.written(once.where(F.col("next").isNotNull() | (F.col("least") != F.col("a"))).drop("next", "least"))
 
@@ -229,15 +228,18 @@ def labelled(shared_rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 def relabelled(labels: DataFrame | None, found: DataFrame) -> DataFrame:
     """(a, root) after the links found: classes with one root are linked, though linked classes may still have two.
 
-    A class moves with all that share its root to the smallest root that a link shows, one step per call.
+    A class moves with all that share its root to the smallest root within two links.
     """
     links = found.select(F.col("xa").alias("x"), F.col("ya").alias("y"))
     if labels is not None:
         for s in "xy":
             named = labels.select(F.col("a").alias("k"), F.col("root").alias("r"))
             links = links.join(named, F.col(s) == F.col("k"), "left").withColumn(s, F.coalesce("r", s)).drop("k", "r")
-    both = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("y < x")
-    moves = shared.written(both.groupBy("x").agg(F.min("y").alias("to")))
+    both = shared.written(links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x <> y").distinct())
+    # two steps of the smallest name: a star's centre learns it from one leaf and passes it to all
+    near = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("low"))
+    far = both.join(near.select(F.col("x").alias("y"), "low"), "y").groupBy("x").agg(F.min("low").alias("to"))
+    moves = shared.written(far.where("to < x"))
     if labels is None:
         return moves.select(F.col("x").alias("a"), F.col("to").alias("root"))
     kept = labels.join(moves, F.col("root") == F.col("x"), "left").select("a", F.coalesce("to", "root").alias("root"))
@@ -248,10 +250,11 @@ def relabelled(labels: DataFrame | None, found: DataFrame) -> DataFrame:
 def star_pairs(rows: DataFrame, number: int) -> DataFrame:
     """Promising pairs of one class per shingle with the other components' classes of that shingle.
 
-    The first round takes the class whose shingles are the most common, as an original is among its copies; later
-    rounds take any.
+    The first round takes the class that shares the largest part of its prefix with others, as an original does with
+    its copies; later rounds take any.
     """
-    weight = rows.groupBy("a").agg(F.sum("spread").alias("h")) if number == 0 else rows.select("a").distinct().withColumn("h", F.xxhash64("a", F.lit(number)))
+    shares = F.count(F.lit(1)) / F.first(prefix_length(F.col("n"))) if number == 0 else F.first(F.lit(0.0))
+    weight = rows.groupBy("a").agg(F.struct(shares.alias("part"), F.first(F.xxhash64("a", F.lit(number))).alias("any")).alias("h"))
     hub = rows.join(weight, "a").groupBy("token").agg(
         F.max(F.struct("h", F.col("a").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))).alias("s"))
     met = rows.join(hub.select("token", "s.hub", "s.hub_n", "s.hub_comp"), "token").where("comp <> hub_comp")
