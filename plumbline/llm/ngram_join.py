@@ -9,8 +9,8 @@ pair the larger document's choice holds.
 
 1. Equal sets become one class. 2. Prefix postings meet by shingle; shingles of one class only go. 3. Rounds of stars:
 per shingle, one class meets the others, promising pairs are verified, and linked classes are joined to components.
-A big group of near copies collapses here without its pairs being listed. 4. All pairs of *different* components
-that share enough prefix shingles and could still reach the overlap are verified. So every link lies inside a
+A big group of near copies collapses here without its pairs being listed. 4. Pairs of *different* components
+meet at shingles from which on enough of both prefixes is left; all that share enough prefix shingles are verified. So every link lies inside a
 component. Verification compares whole sets, which are made anew from the texts of the documents concerned.
 
 Hashing: shingles are compared by 64-bit hashes, sets by 128 bits. Edge cases: null or blank texts have the empty set
@@ -141,14 +141,14 @@ def prefix_of(values: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, int,
 
 
 def postings(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(token, a, n, level, matches) of every prefix shingle; ``level`` is the smallest prefix that holds it."""
+    """(token, a, n, level, matches, at) of every prefix shingle; ``level`` is the smallest prefix that holds it, ``at`` its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for part in shared.pieces(batch, "text"):
                 _, sets = shingle_sets(part.column("text"))
-                columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+                columns: list[list[np.ndarray]] = [[] for _ in range(6)]
                 for values, a in zip(sets, signatures(sets)[0].tolist()):
                     if a in seen:
                         continue
@@ -156,15 +156,15 @@ def postings(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                     prefix, shortest, matches = prefix_of(values, levels)
                     size = len(prefix)
                     level = np.maximum(1, np.arange(2 - shortest, size + 2 - shortest))
-                    for c, x in zip(columns, (prefix, np.full(size, a, np.uint64), np.full(size, len(values)), level, np.full(size, matches))):
+                    for c, x in zip(columns, (prefix, np.full(size, a, np.uint64), np.full(size, len(values)), level, np.full(size, matches), np.arange(size))):
                         c.append(x)
                 if columns[0]:
-                    token, a, n, level, matches = map(np.concatenate, columns)
+                    token, a, *rest = map(np.concatenate, columns)
                     yield pa.RecordBatch.from_arrays(
-                        [shared.signed(token), shared.signed(a), *(pa.array(x.astype(np.int32)) for x in (n, level, matches))],
-                        names=["token", "a", "n", "level", "matches"])
+                        [shared.signed(token), shared.signed(a), *(pa.array(x.astype(np.int32)) for x in rest)],
+                        names=["token", "a", "n", "level", "matches", "at"])
 
-    return _texts(docs).mapInArrow(run, "token long, a long, n int, level int, matches int")
+    return _texts(docs).mapInArrow(run, "token long, a long, n int, level int, matches int, at int")
 
 
 def shared_postings(posted: DataFrame) -> DataFrame:
@@ -271,23 +271,32 @@ def prefix_length(n, most=MOST_MATCHES):
 
 
 def remaining_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs of different components that share the matches the larger class asks for and may reach the overlap.
+    """All pairs of different components whose prefixes can hold the matches that the larger class asks for, and the overlap.
 
-    A pair shares no more prefix shingles than either class has in ``rows``; that alone rules most pairs out while they
-    are joined.
+    Shared shingles come in the same order in both prefixes. From the first one on, both classes must have as many
+    postings left as the pair needs matches, or the pair is out; so a shingle makes a pair only while that many are left,
+    and the first shared shingle of a similar pair always does.
     """
-    most = rows.groupBy("a").agg(F.count(F.lit(1)).alias("most"))
-    rows = shared.written(rows.join(most, "a"))
-    x, y = (rows.select("token", *[F.col(c).alias(s + c) for c in ("a", "n", "level", "matches", "comp", "most")]) for s in "xy")
+    after = Window.partitionBy("a").orderBy(F.desc("at"))
+    rows = shared.written(rows.withColumn("left", F.row_number().over(after)))
+    x, y = (rows.select("token", *[F.col(c).alias(s + c) for c in ("a", "n", "level", "matches", "comp", "left")]) for s in "xy")
     # what the prefixes do not show can add at most the longer of both rests
     rest = F.greatest(F.col("xn") - prefix_length(F.col("xn")), F.col("yn") - prefix_length(F.col("yn")))
     overlap = F.ceil((F.col("xn") + F.col("yn")) * PERCENT / (100 + PERCENT))
-    possible = F.least("xmost", "ymost") >= F.greatest(F.col("xmatches"), overlap - rest)
+    possible = F.least("xleft", "yleft") >= overlap - rest
+    # matches are counted in the prefixes of the chosen length; the last shingles of a longer prefix do not count
+    chosen = (F.col("xlevel") <= F.col("xmatches")) & (F.col("ylevel") <= F.col("xmatches"))
+    enough = F.least(F.col("xleft"), F.col("yleft")) >= F.col("xmatches")
     larger = (F.col("xn") > F.col("yn")) | ((F.col("xn") == F.col("yn")) & (F.col("xa") > F.col("ya")))
-    met = x.join(y, "token").where(larger & (F.col("xcomp") != F.col("ycomp")) & (F.col("yn") * 100 >= F.col("xn") * PERCENT) & possible)
-    close = (F.col("xlevel") <= F.col("xmatches")) & (F.col("ylevel") <= F.col("xmatches"))
-    counted = met.groupBy("xa", "ya", "xn", "yn", "xmatches").agg(F.count(F.lit(1)).alias("c"), F.sum(close.cast("int")).alias("close"))
-    return counted.where((F.col("close") >= F.col("xmatches")) & (F.col("c") + rest >= overlap)).select(F.col("xa").alias("x"), F.col("ya").alias("y"))
+    met = x.join(y, "token").where(
+        possible & enough & chosen & larger & (F.col("xcomp") != F.col("ycomp")) & (F.col("yn") * 100 >= F.col("xn") * PERCENT))
+    pairs = shared.written(met.select("xa", "ya", "xmatches", (overlap - rest).alias("need")).distinct())
+    # the matches of each pair are counted in the prefixes, which are short lists
+    lists = rows.groupBy("a").agg(F.collect_list("token").alias("tokens"))
+    for s in "xy":
+        pairs = pairs.join(lists.select(F.col("a").alias(s + "a"), F.col("tokens").alias(s + "tokens")), s + "a")
+    matches = F.size(F.array_intersect("xtokens", "ytokens"))
+    return pairs.where(matches >= F.greatest("xmatches", "need")).select(F.col("xa").alias("x"), F.col("ya").alias("y"))
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
