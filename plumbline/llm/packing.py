@@ -3,9 +3,9 @@
 A document is its token ids and an end id. Documents longer than a sequence are cut into full sequences; what is
 left over comes first. Full pieces are sequences of their own; all others are packed. Pieces are dealt by hash into
 blocks of bounded size, and each block is packed in one task: best fit, longest first, then a local search that
-empties the emptiest sequences. It moves a piece into a fuller sequence, exchanges one piece for a shorter one of a
-fuller sequence, or two pieces for one that is shorter than both together. Every step makes the sum of squared
-fills larger, so the search ends; an emptied sequence is gone. Sequences that stay loose at the end of a block
+empties the emptiest sequences. It moves a piece, exchanges one piece for a shorter one of another sequence, or two
+pieces for one that is shorter than both together. Every step that makes the sum of squared fills larger is allowed,
+and the search ends when no sequence of the block has one; an emptied sequence is gone. Sequences that stay loose at the end of a block
 are dealt anew, into fewer blocks, with those of other blocks, until one block is left or nothing gets tighter.
 
 The ids come from the byte-level BPE vocabulary at ``path``: a ``.json`` file is read by tokenizers, a ``.tiktoken``
@@ -34,7 +34,6 @@ SEQUENCE = 1024
 END_ID = 2
 BLOCK = 16_384
 LOOSE = 0.97  # sequences filled less are dealt anew while there are several blocks
-PATIENCE = 200  # the search of a block ends after so many sequences in a row that it could not tighten
 OUT = ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
@@ -94,6 +93,15 @@ def token_pieces(docs: DataFrame, path: str) -> DataFrame:
     return shared.written(rows.withColumn("no", F.monotonically_increasing_id()))
 
 
+def _spread(bits: int, low: int, high: int) -> int:
+    """All sums of a bit's number and one of low..high."""
+    width, left = 1, high - low + 1
+    while 2 * width <= left:
+        bits |= bits << width
+        width *= 2
+    return (bits | bits << (left - width)) << low
+
+
 class Bins:
     """Sequences under construction, indexed by what is free in them and by the lengths they hold."""
 
@@ -103,8 +111,12 @@ class Bins:
         self.items: list[list[int]] = []
         self.free: list[int] = []
         self._best_fit()
-        self.holders: dict[tuple[int, int], set[int]] = defaultdict(set)  # (free, length) -> sequences
-        self.with_free: dict[int, set[int]] = defaultdict(set)
+        self.holders: dict[tuple[int, int], set[int]] = defaultdict(set)  # (free, length) -> sequences; length 0: all
+        self.held: dict[int, int] = defaultdict(int)  # free -> bits of the lengths in holders
+        self.reach: dict[int, int] = {}  # free -> bits of the lengths that can be given for one of held
+        self.clock = 0
+        self.stamp: dict[int, int] = defaultdict(int)  # free -> time a sequence last came to it
+        self.failed = [-1] * len(self.items)  # time a sequence last found no step; -1 after a change
         for b in range(len(self.items)):
             self._index(b)
 
@@ -133,51 +145,94 @@ class Bins:
         r = self.free[b]
         if not r or not self.items[b]:
             return
-        for target in [self.with_free[r], *(self.holders[r, self.length[i]] for i in self.items[b])]:
-            (target.add if on else target.discard)(b)
+        for held in {0, *(self.length[i] for i in self.items[b])}:
+            found = self.holders[r, held]
+            (found.add if on else found.discard)(b)
+            bit = 1 << held
+            self.held[r] = self.held[r] | bit if found else self.held[r] & ~bit
+        self.reach.pop(r, None)
 
     def _exchange(self, donor: int, give: list[int], target: int, take: list[int]):
-        for b in (donor, target):
-            self._index(b, False)
+        """Exchanges pieces; the donor is not in the index."""
+        self._index(target, False)
         moved = sum(self.length[i] for i in give) - sum(self.length[i] for i in take)
         self.items[donor] = [i for i in self.items[donor] if i not in give] + take
         self.items[target] = [i for i in self.items[target] if i not in take] + give
         self.free[donor] += moved
         self.free[target] -= moved
+        self._index(target)
+        self.clock += 1
         for b in (donor, target):
-            self._index(b)
-
-    def _other(self, found: set[int] | None, donor: int) -> int | None:
-        return next((b for b in found or () if b != donor and self.free[b] <= self.free[donor]), None)
-
-    def _step(self, donor: int) -> bool:
-        """One step that moves tokens from the donor into a sequence at least as full; False if there is none."""
-        items = sorted(self.items[donor], key=self.length.__getitem__, reverse=True)
-        rooms = sorted((r for r, found in self.with_free.items() if found and r <= self.free[donor]), reverse=True)
-        for i in items:  # move
-            for r in reversed(rooms):
-                if r >= self.length[i] and (b := self._other(self.with_free[r], donor)) is not None:
-                    self._exchange(donor, [i], b, [])
-                    return True
-        groups = [[i] for i in items] + [[i, j] for k, i in enumerate(items) for j in items[k + 1:k + 9]]
-        for give in groups:  # one for one, two for one: fill a sequence to the brim
-            whole = sum(self.length[i] for i in give)
+            self.failed[b] = -1
+            self.stamp[self.free[b]] = self.clock
+
+    def _found(self, donor: int) -> tuple[list[int], int, list[int]] | None:
+        """(pieces to give, target, pieces to take) of a step that raises the sum of squared fills; None if there is none.
+
+        To move d tokens into a sequence with r free raises the sum if d <= r and d > r - free of the donor. What a donor
+        that found nothing has seen is not looked at again.
+        """
+        mine = self.free[donor]
+        piece = {self.length[i]: i for i in self.items[donor]}
+        twice = {}
+        for i in self.items[donor]:
+            if i != piece[self.length[i]]:
+                twice[self.length[i]] = i
+        rooms = [r for r, held in self.held.items() if held and self.stamp[r] > self.failed[donor]]
+        rooms.sort(key=lambda r: (r > mine, -r))
+        one = sum(1 << n for n in piece)
+        both = one
+        for n in piece:
+            both |= (one >> n + 1 << n + 1 | (1 << n if n in twice else 0)) << n
+
+        def step(gives: int, r: int, d: int):
+            hit = gives & (self.held[r] << d)
+            whole = hit.bit_length() - 1
+            if whole in piece:
+                give = [piece[whole]]
+            else:
+                a = next(n for n in piece if whole - n in piece and (2 * n != whole or n in twice))
+                give = [piece[a], twice[a] if 2 * a == whole else piece[whole - a]]
+            b = next(iter(self.holders[r, whole - d]))
+            return give, b, [next(i for i in self.items[b] if self.length[i] == whole - d)] if whole > d else []
+
+        for n in sorted(piece, reverse=True):  # move
+            r = min((r for r in rooms if r >= n > r - mine), default=None)
+            if r is not None:
+                return [piece[n]], next(iter(self.holders[r, 0])), []
+        for gives in (one, both):  # exchanges that fill a sequence to the brim
             for r in rooms:
-                wanted = whole - r
-                if wanted > 0 and (b := self._other(self.holders.get((r, wanted)), donor)) is not None:
-                    self._exchange(donor, give, b, [next(i for i in self.items[b] if self.length[i] == wanted)])
-                    return True
-        return False
+                if gives & (self.held[r] << r):
+                    return step(gives, r, r)
+        for r in rooms:  # all others, most tokens first
+            least = max(1, r - mine + 1)
+            if least == 1:
+                if r not in self.reach:
+                    self.reach[r] = _spread(self.held[r], 1, r)
+                reach = self.reach[r]
+            else:
+                reach = _spread(self.held[r], least, r)
+            if both & reach:
+                return step(both, r, next(d for d in range(r, 0, -1) if both & (self.held[r] << d)))
+        return None
 
     def search(self):
-        stale = 0
-        for donor in sorted((b for b in range(len(self.items)) if self.free[b]), key=self.free.__getitem__, reverse=True):
-            tightened = False
-            while self.items[donor] and self.free[donor] and self._step(donor):
-                tightened = True
-            stale = 0 if tightened else stale + 1
-            if stale > PATIENCE:
-                return
+        """Steps until no sequence has one."""
+        changed = True
+        while changed:
+            changed = False
+            for donor in sorted((b for b in range(len(self.items)) if self.free[b]), key=self.free.__getitem__, reverse=True):
+                while self.items[donor] and self.free[donor]:
+                    self._index(donor, False)
+                    found = self._found(donor)
+                    if found:
+                        self._exchange(donor, *found)
+                        changed = True
+                    else:
+                        self.failed[donor] = self.clock
+                    self._index(donor)
+                    if not found:
+                        break
 
 
 def pack(lengths: np.ndarray, size: int = SEQUENCE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -69,3 +69,28 @@ def test_search_improves_squared_fill(low, high):
     assert squares() >= before and sum(map(bool, bins.items)) <= used
     assert sorted(i for items in bins.items for i in items) == list(range(3000))
     assert all(sum(lengths[i] for i in items) + free == 1024 for items, free in zip(bins.items, bins.free))
+
+
+def test_few_distinct_lengths():
+    lengths = np.array([400] * 2000 + [300] * 4000)
+    sequence, _, _ = packing.pack(lengths)
+    assert len(set(sequence)) == 2000
+
+
+def allowed_step(bins):
+    """A move, one-for-one or two-for-one exchange that raises the sum of squared fills, by trying all."""
+    for a, mine in enumerate(bins.items):
+        gives = {bins.length[i] for i in mine} | {bins.length[i] + bins.length[j] for k, i in enumerate(mine) for j in mine[k + 1:]}
+        for b, other in enumerate(bins.items):
+            for d in {g - t for g in gives for t in (0, *(bins.length[i] for i in other))} if a != b and mine and other else ():
+                if 0 < d <= bins.free[b] and d > bins.free[b] - bins.free[a]:
+                    return a, b, d
+    return None
+
+
+@pytest.mark.parametrize("lengths", [[400] * 20 + [300] * 40, [310, 353, 401] * 30, list(range(300, 400)), list(range(1, 1000, 9)), [511, 2, 512, 513] * 9])
+def test_search_ends_without_an_allowed_step(lengths):
+    bins = packing.Bins(np.array(lengths), 1024)
+    bins.search()
+    assert allowed_step(bins) is None
+    assert sorted(i for items in bins.items for i in items) == list(range(len(lengths)))
