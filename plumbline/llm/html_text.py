@@ -10,13 +10,15 @@ form the content cluster. Content regions are the containers whose text lies mos
 heading or a one-word paragraph between long ones stays.
 
 Edge cases: null and empty html give an empty text, and so does a page without text. Character references are
-decoded once, white space inside a block becomes one space, unclosed elements end with the page. Repeated page_ids
+decoded once, white space inside a block becomes one space. An element ends with its end tag, with a start tag that
+ends it (p, li, dd, dt, headings and table parts need no end tag) or with an element around it. Repeated page_ids
 are separate rows, a null page_id or url is passed on. There is no limit on length. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -43,6 +45,23 @@ BLOCKS = {
 CONTAINERS = {"article", "main", "section", "div", "td", "body"}
 HOLDERS = {"article", "main"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+# Fixed values of the HTML syntax: what a start tag ends, and the elements that an end looks no further than.
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+HEAD = {"base", "head", "link", "meta", "noscript", "script", "style", "template", "title"}
+SCOPE = {"caption", "html", "object", "table", "td", "template", "th"}
+LISTS = {"ol", "ul", "menu"}
+TABLE_PARTS = {"caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
+ENDS_P = {
+    "address", "article", "aside", "blockquote", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure",
+    "footer", "form", "header", "hr", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "ul", *HEADINGS,
+}
+_SPECIAL = (BLOCKS | SKIPPED) - {"address", "div", "p"}
+ENDED_BY = {  # start tag: (elements it ends, barrier, whether the outermost one ends)
+    "li": ({"li"}, _SPECIAL, False), "dd": ({"dd", "dt"}, _SPECIAL, False), "dt": ({"dd", "dt"}, _SPECIAL, False),
+    "td": ({"td", "th", "caption"}, {"table", "template"}, True), "th": ({"td", "th", "caption"}, {"table", "template"}, True),
+    "tr": ({"tr", "td", "th", "caption"}, {"table", "template"}, True), "button": ({"button"}, SCOPE, False),
+    **dict.fromkeys(("tbody", "thead", "tfoot"), (TABLE_PARTS, {"table", "template"}, True)),
+}
 SIGMA, RADIUS = 1.0, 2
 _WORD = re.compile(r"[a-z]+")
 _KERNEL = np.exp(-0.5 * (np.arange(-RADIUS, RADIUS + 1) / SIGMA) ** 2)
@@ -65,52 +84,106 @@ class LineReader(HTMLParser):
         self.lines: list[tuple[str, int, int]] = []
         self.parts: list[str] = []
         self.tags = 0
-        self.skip: list | None = None  # [element, depth] while inside a skipped element
-        self.open: list[tuple[str, int]] = []  # open containers with their regions
+        self.open: list[tuple[str, bool, int, bool]] = []  # open elements: name, skipped, region, inside a holder
+        self.count: Counter[str] = Counter()  # open elements by name
+        self.skips = 0  # open elements that are skipped
         self.regions = 0
 
     def flush(self):
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.open[-1][1] if self.open else 0))
+            self.lines.append((text, self.tags, self.open[-1][2] if self.open else 0))
         if self.parts:
             self.parts = []
         self.tags = 0
 
+    def _remove(self, k: int):
+        tag, skipped, _, _ = self.open.pop(k)
+        self.count[tag] -= 1
+        self.skips -= skipped
+
+    def _close(self, names: set[str], barrier: set[str], outermost: bool = False):
+        """Ends the innermost (or outermost) open element of ``names`` above the barrier, with all that is open in it."""
+        if not any(self.count[n] for n in names):
+            return
+        found = None
+        for k in range(len(self.open) - 1, -1, -1):
+            tag = self.open[k][0]
+            if tag in names:
+                found = k
+                if not outermost:
+                    break
+            elif tag in barrier:
+                break
+        if found is not None:
+            if sum(x[1] for x in self.open[found:]) == self.skips:  # not inside a skipped element
+                self.flush()
+            while len(self.open) > found:
+                self._remove(-1)
+
+    def _end_before(self, tag: str):
+        """Ends the open elements that a start tag ends without an end tag of their own."""
+        if self.open and self.open[-1][0] == "head" and tag not in HEAD:
+            self._close({"head"}, SCOPE)
+        if tag in ENDS_P:
+            self._close({"p"}, SCOPE | {"button"})
+        if tag in ENDED_BY:
+            names, barrier, outermost = ENDED_BY[tag]
+            self._close(names, barrier, outermost)
+        elif tag in HEADINGS and self.open and self.open[-1][0] in HEADINGS:
+            self._close(HEADINGS, SCOPE)
+        elif tag == "a" and self.count["a"]:
+            self._end_one("a")
+
+    def _end_one(self, tag: str):
+        """Ends an element and leaves open what is open in it."""
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] == tag:
+                return self._remove(k)
+            if self.open[k][0] in SCOPE:
+                return
+
     def handle_starttag(self, tag, attrs):
-        if self.skip:
-            if tag == self.skip[0]:
-                self.skip[1] += 1
+        self._end_before(tag)
+        if tag in ("html", "body", "form") and self.count[tag]:
             return
-        if tag not in VOID and (tag in SKIPPED or (attrs and tag not in ("html", "body") and _says_skipped(attrs))):
+        skipped = tag not in VOID and (tag in SKIPPED or bool(attrs and tag not in ("html", "body") and _says_skipped(attrs)))
+        _, _, region, held = self.open[-1] if self.open else ("", False, 0, False)
+        if not self.skips:
             if tag in BLOCKS or tag in SKIPPED:
                 self.flush()
-            self.skip = [tag, 1]
-            return
-        if tag in BLOCKS:
-            self.flush()
-            if tag in CONTAINERS:
-                inside = self.open and self.open[-1][0] in HOLDERS
-                self.regions += 1
-                self.open.append(("article", self.open[-1][1]) if inside else (tag, self.regions))
-        elif tag == "br":
-            self.parts.append(" ")
-        self.tags += 1
+            if tag == "br":
+                self.parts.append(" ")
+            if not skipped:
+                self.tags += 1
+                if tag in CONTAINERS and not held:
+                    self.regions += 1
+                    region, held = self.regions, tag in HOLDERS
+        if tag not in VOID:
+            self.open.append((tag, skipped, region, held))
+            self.count[tag] += 1
+            self.skips += skipped
 
     def handle_endtag(self, tag):
-        if self.skip:
-            if tag == self.skip[0]:
-                self.skip[1] -= 1
-                if not self.skip[1]:
-                    self.skip = None
-            return
-        if tag in BLOCKS:
+        if tag in BLOCKS and not self.skips:
             self.flush()
-            if tag in CONTAINERS and self.open:
-                self.open.pop()
+        if not self.count[tag] and tag not in HEADINGS:
+            return
+        if tag in TABLE_PARTS:
+            self._close({tag}, {"table", "template"})
+        elif tag in ("html", "body", "head", "template", "table"):
+            self._close({tag}, {"template"})
+        elif tag in HEADINGS:
+            self._close(HEADINGS, SCOPE)
+        elif tag in BLOCKS or (tag in SKIPPED and tag != "form"):
+            self._close({tag}, SCOPE | LISTS if tag == "li" else SCOPE)
+        else:
+            self._end_one(tag)
 
     def handle_data(self, data):
-        if not self.skip:
+        if self.open and self.open[-1][0] == "head" and not data.isspace():
+            self._close({"head"}, SCOPE)
+        if not self.skips:
             self.parts.append(data)
 
 

@@ -82,3 +82,22 @@ def test_html_edge_cases(spark):
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert [r.text for r in got[:5]] == ["", "", "x", "plain", ""]
     assert got[5].n_chars == 3000 * 3 - 1
+
+
+@pytest.mark.parametrize("skipped", [
+    '<p class="notice">Notice.', '<ul><li class="ad">Ad.</ul>', '<ul><li>Item.<li class="ad">Ad.</ul>', '<dl><dt class="ad">Ad.<dd>Item.</dl>',
+    '<div><p class="ad">Ad.</div>', '<div><span class="ad">Ad.</div>', '<table><tr class="ad"><td>Ad.<tr><td>Item.</table>', '<p><a class="ad">Ad.<p>',
+    '<table><tr><td class="ad">Ad.<td>Item.</table>', '<div class="ad"><div><p>Ad.</div><p>Ad.</div>', '<p class="ad">Ad.<p class="ad">Ad.',
+])
+@pytest.mark.parametrize("start,end", [("<article>", "</article>"), ("", "")])
+def test_html_skip_ends_with_its_element(skipped, start, end):
+    text = html_text.main_text(f"<html><body>{skipped}{start}<p>One paragraph.</p><p>Two paragraphs.</p>{end}</body></html>")
+    assert text.endswith("One paragraph.\nTwo paragraphs.") and "Ad." not in text and "Notice" not in text
+
+
+def test_html_unclosed_head():
+    assert html_text.main_text("<head><title>T</title><meta name=a><p>One.<p>Two.") == "One.\nTwo."
+
+
+def test_html_skipped_span_ends_with_its_block():
+    assert html_text.main_text('<article><div>One. <span class="ad">Ad.</div>Two. <b class="ad"><p>Ad.</p></b>Three.</article>') == "One.\nTwo. Three."
