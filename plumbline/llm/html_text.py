@@ -1,9 +1,10 @@
 """Main text of web pages by text-to-tag ratios.
 
-The standard library's parser streams over the whole page once. Its events build lines: a line is the text between
+The standard library's parser streams over the whole page. Its events build lines: a line is the text between
 two block boundaries, with the number of tags that were opened in it and the container it lies in. Elements that
-never hold main text (menus, forms, scripts, and elements whose class, id or role says advert, notice, comment ...)
-are left out as they stream by. Each line has a text-to-tag ratio; the ratios are smoothed with a Gaussian along
+never hold main text (menus, forms, scripts, and elements with advert, notice, comment ... as a whole class, id or
+role, or with a compound of such words only) are left out as they stream by. Class, id and role never leave out an
+article, main or heading, nor an element around an article, main or h1 (such a page is read twice). Each line has a text-to-tag ratio; the ratios are smoothed with a Gaussian along
 the page, and lines above a threshold (half the standard deviation of the smoothed ratios, never above the largest)
 form the content cluster. Content regions are the containers whose text lies mostly in that cluster (a line of an
 ``article`` or ``main`` belongs to that element however deep it lies); of each region all lines are kept, so a
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 # Elements that never hold main text, and words in class, id or role that say the same.
 SKIPPED = {
     "head", "title", "script", "style", "noscript", "template", "nav", "header", "footer", "aside", "form", "button", "select",
-    "textarea", "iframe", "object", "svg", "canvas", "menu", "dialog", "figcaption",
+    "textarea", "iframe", "object", "svg", "canvas", "menu", "dialog",
 }
 SKIPPED_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent",
@@ -38,7 +39,7 @@ SKIPPED_WORDS = {
     "complementary", "contentinfo", "search",
 }
 BLOCKS = {
-    "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figure", "footer",
+    "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer",
     "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody",
     "td", "tfoot", "th", "thead", "tr", "ul", "caption",
 }
@@ -47,6 +48,8 @@ HOLDERS = {"article", "main"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 # Fixed values of the HTML syntax: what a start tag ends, and the elements that an end looks no further than.
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+MAIN = {"article", "main", "h1"}  # an element around one of them is not skipped by class, id or role
+UNNAMED = {"article", "body", "html", "main", *HEADINGS, *VOID}  # nor is one of these
 HEAD = {"base", "head", "link", "meta", "noscript", "script", "style", "template", "title"}
 SCOPE = {"caption", "html", "object", "table", "td", "template", "th"}
 LISTS = {"ol", "ul", "menu"}
@@ -63,24 +66,33 @@ ENDED_BY = {  # start tag: (elements it ends, barrier, whether the outermost one
     **dict.fromkeys(("tbody", "thead", "tfoot"), (TABLE_PARTS, {"table", "template"}, True)),
 }
 SIGMA, RADIUS = 1.0, 2
-_WORD = re.compile(r"[a-z]+")
+_PART = re.compile("[-_]+")
 _KERNEL = np.exp(-0.5 * (np.arange(-RADIUS, RADIUS + 1) / SIGMA) ** 2)
 
 
 def _says_skipped(attrs) -> bool:
+    """Whether a whole class, id or role, or each part of a compound, is one of the words."""
     for name, value in attrs:
-        if value and name in ("class", "id", "role") and not SKIPPED_WORDS.isdisjoint(_WORD.findall(value.lower())):
-            return True
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+        if value and name in ("class", "id", "role"):
+            for token in value.lower().split():
+                if token in SKIPPED_WORDS or SKIPPED_WORDS.issuperset(_PART.split(token)):
+                    return True
     return False
 
 
+def _hidden(attrs) -> bool:
+    return any(name == "hidden" or (name == "aria-hidden" and value == "true") for name, value in attrs)
+
+
 class LineReader(HTMLParser):
     """Lines of a page with their tag counts and regions."""
 
-    def __init__(self):
+    def __init__(self, kept: set[int] = frozenset()):
         super().__init__(convert_charrefs=True)
+        self.kept = kept  # numbers of start tags that attributes do not skip
+        self.number = 0  # start tags so far
+        self.found: set[int] = set()  # skipped by attributes although they hold main text
+        self.named: list[tuple[int, int]] = []  # open elements skipped by class, id or role: place in open, number
         self.lines: list[tuple[str, int, int]] = []
         self.parts: list[str] = []
         self.tags = 0
@@ -101,6 +113,8 @@ class LineReader(HTMLParser):
         tag, skipped, _, _ = self.open.pop(k)
         self.count[tag] -= 1
         self.skips -= skipped
+        k %= len(self.open) + 1
+        self.named = [(at - (at > k), number) for at, number in self.named if at != k]
 
     def _close(self, names: set[str], barrier: set[str], outermost: bool = False):
         """Ends the innermost (or outermost) open element of ``names`` above the barrier, with all that is open in it."""
@@ -144,10 +158,14 @@ class LineReader(HTMLParser):
                 return
 
     def handle_starttag(self, tag, attrs):
+        self.number += 1
         self._end_before(tag)
         if tag in ("html", "body", "form") and self.count[tag]:
             return
-        skipped = tag not in VOID and (tag in SKIPPED or bool(attrs and tag not in ("html", "body") and _says_skipped(attrs)))
+        named = bool(attrs) and tag not in UNNAMED and tag not in SKIPPED and self.number not in self.kept and _says_skipped(attrs)
+        skipped = tag not in VOID and (named or tag in SKIPPED or bool(attrs and tag not in ("html", "body") and _hidden(attrs)))
+        if tag in MAIN and not skipped and self.skips == len(self.named):
+            self.found.update(number for _, number in self.named)
         _, _, region, held = self.open[-1] if self.open else ("", False, 0, False)
         if not self.skips:
             if tag in BLOCKS or tag in SKIPPED:
@@ -160,6 +178,8 @@ class LineReader(HTMLParser):
                     self.regions += 1
                     region, held = self.regions, tag in HOLDERS
         if tag not in VOID:
+            if named and not _hidden(attrs):
+                self.named.append((len(self.open), self.number))
             self.open.append((tag, skipped, region, held))
             self.count[tag] += 1
             self.skips += skipped
@@ -187,12 +207,19 @@ class LineReader(HTMLParser):
             self.parts.append(data)
 
 
-def main_text(html: str) -> str:
-    """Main text of one page; see the module's description."""
-    reader = LineReader()
+def _read(html: str, kept: set[int] = frozenset()) -> LineReader:
+    reader = LineReader(kept)
     reader.feed(html)
     reader.close()
     reader.flush()
+    return reader
+
+
+def main_text(html: str) -> str:
+    """Main text of one page; see the module's description."""
+    reader = _read(html)
+    if reader.found:
+        reader = _read(html, reader.found)
     lines = reader.lines
     if not lines:
         return ""

@@ -101,3 +101,23 @@ def test_html_unclosed_head():
 
 def test_html_skipped_span_ends_with_its_block():
     assert html_text.main_text('<article><div>One. <span class="ad">Ad.</div>Two. <b class="ad"><p>Ad.</p></b>Three.</article>') == "One.\nTwo. Three."
+
+
+@pytest.mark.parametrize("page", [
+    '<div id="content" class="has-sidebar"><h1>Head.</h1><p>Text.</p></div>', '<main class="with-sidebar"><h1>Head.</h1><p>Text.</p></main>',
+    '<article class="post comments-open"><h1>Head.</h1><p>Text.</p></article>', '<article><h2 id="related-work">Head.</h2><p id="notice-period">Text.</p></article>',
+    '<article><h3 id="social-history">Head.</h3><p>Text.</p></article>', '<article class="widget"><h2 class="header">Head.</h2><p>Text.</p></article>',
+    '<div class="sidebar"><div class="ad">Ad.</div><div class="widget"><article><h2>Head.</h2><p>Text.</p></article></div></div>',
+    '<div class="banner"><h1>Head.</h1><p>Text.</p></div>', '<article><p>Head.</p><figure><img><figcaption>Text.</figcaption></figure></article>',
+])
+def test_html_keeps_what_attributes_do_not_name(page):
+    text = f"<body>{page}"
+    assert html_text.main_text(text) == "Head.\nText."
+
+
+@pytest.mark.parametrize("ad", [
+    'class="box ad"', 'id="sidebar"', 'role="complementary"', 'class="cookie-notice"', 'class="nav_menu"', 'class="ad" hidden', "hidden", 'aria-hidden="true"'])
+def test_html_skips_named_elements(ad):
+    page = f"<article><p>One.</p><div {ad}><h3>Ad.</h3><p>Ad.</p></div><p>Two.</p></article>"
+    assert html_text.main_text(page) == "One.\nTwo."
+    assert html_text.main_text(f"<div hidden><div {ad}><h1>Ad.</h1></div></div><p>Two.</p>") == "Two."
