@@ -4,9 +4,10 @@ The standard library's parser streams over the whole page. Its events build line
 two block boundaries, with the number of tags that were opened in it and the container it lies in. Elements that
 never hold main text (menus, forms, scripts, and elements with advert, notice, comment ... as a whole class, id or
 role, or with a compound of such words only) are left out as they stream by. Class, id and role never leave out an
-article, main or heading, nor an element around an article, main or h1 (such a page is read twice). Each line has a text-to-tag ratio; the ratios are smoothed with a Gaussian along
-the page, and lines above a threshold (half the standard deviation of the smoothed ratios, never above the largest)
-form the content cluster. Content regions are the containers whose text lies mostly in that cluster (a line of an
+article, main or heading, nor an element around an article, main or h1 (such a page is read twice). Each line has a
+text-to-tag ratio, counted up to ``LONG`` so that no line sets the scale of the page. The ratios are smoothed with a
+Gaussian along the page, and lines above a threshold (half the standard deviation of the smoothed ratios, never above
+the largest) form the content cluster. Content regions are the containers whose text lies mostly in it (a line of an
 ``article`` or ``main`` belongs to that element however deep it lies); of each region all lines are kept, so a
 heading or a one-word paragraph between long ones stays.
 
@@ -66,6 +67,7 @@ ENDED_BY = {  # start tag: (elements it ends, barrier, whether the outermost one
     **dict.fromkeys(("tbody", "thead", "tfoot"), (TABLE_PARTS, {"table", "template"}, True)),
 }
 SIGMA, RADIUS = 1.0, 2
+LONG = 200.0  # ratio of a line that is surely text; higher ones count as this
 _PART = re.compile("[-_]+")
 _KERNEL = np.exp(-0.5 * (np.arange(-RADIUS, RADIUS + 1) / SIGMA) ** 2)
 
@@ -224,7 +226,7 @@ def main_text(html: str) -> str:
     if not lines:
         return ""
     chars = np.array([len(x[0]) for x in lines], dtype=float)
-    ratios = chars / np.maximum(1, [x[1] for x in lines])
+    ratios = np.minimum(LONG, chars / np.maximum(1, [x[1] for x in lines]))
     weight = np.convolve(np.ones(len(lines)), _KERNEL, "same") if len(lines) > RADIUS * 2 else np.full(len(lines), 1.0)
     smooth = np.convolve(ratios, _KERNEL, "same") / weight if len(lines) > RADIUS * 2 else ratios
     content = smooth >= min(smooth.std() / 2, smooth.max())

@@ -121,3 +121,13 @@ def test_html_skips_named_elements(ad):
     page = f"<article><p>One.</p><div {ad}><h3>Ad.</h3><p>Ad.</p></div><p>Two.</p></article>"
     assert html_text.main_text(page) == "One.\nTwo."
     assert html_text.main_text(f"<div hidden><div {ad}><h1>Ad.</h1></div></div><p>Two.</p>") == "Two."
+
+
+@pytest.mark.parametrize("size", [20_000, 1_000_000])
+@pytest.mark.parametrize("place", [0, 1, 2])
+def test_html_one_very_long_paragraph(size, place):
+    sections = [["w" * 300] * 20, ["v" * 300] * 20]
+    sections.insert(place, ["x" * size])
+    menu = "<div>" + "".join(f"<p><a href=x>Link {i}</a></p>" for i in range(10)) + "</div>"
+    page = menu + "".join("<section>" + "".join(f"<p>{p}</p>" for p in ps) + "</section>" for ps in sections)
+    assert html_text.main_text(f"<body>{page}</body>") == "\n".join(p for ps in sections for p in ps)
