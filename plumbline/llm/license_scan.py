@@ -1,6 +1,7 @@
 """Licence scan with a trained paragraph classifier; the scan itself is DataFrame functions only.
 
-A paragraph is a line of a document. Its features are its distinct word n-grams (one to ``GRAM`` words). A multinomial
+A paragraph is a line of a document, or a window of words over a block of consecutive lines with words, so notices that
+are wrapped or stand in comments are read as well. Its features are its distinct word n-grams (one to ``GRAM`` words). A multinomial
 logistic regression with sparse weights over the n-grams of licence notices gives each family, and a class
 "unknown", a probability; the temperature and the weight of "unknown" are calibrated on held-out variants. A predicted
 family counts only if a template of that family confirms it: the n-grams of the paragraph must cover at least
@@ -8,8 +9,9 @@ family counts only if a template of that family confirms it: the n-grams of the
 
 The model is trained when first used, on the driver: from the fixed notices below, varied by leaving out, adding and
 changing words, against sentences that use the same words otherwise. Its size is set by the notices, not by the input, so
-the weights are a table of bounded size that goes to every task. Only paragraphs with one of ``TRIGGERS``, of which
-every template has one, are split into n-grams; no other paragraph could be confirmed.
+the weights are a table of bounded size that goes to every task. Only paragraphs with one of ``TRIGGERS`` (they count
+as unknown otherwise) or one of ``anchors`` are split into n-grams. The anchors are derived from the templates: what has
+none of them cannot cover ``COVERAGE`` of any template.
 
 Edge cases: null and empty texts have no paragraph and no licence. A row is one document, also if doc_ids repeat or
 are null. Equal paragraphs of a document count each. Empty tables give empty results. Other columns are not read.
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -60,6 +63,24 @@ TEMPLATES = {
     "Proprietary": ("All rights reserved.", "Copyright 2020 Example Corporation. All rights reserved.", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited; all rights reserved."),
     "Unlicense": ("This is free and unencumbered software released into the public domain under the Unlicense.",),
 }
+# Paragraphs of standard texts and headers.
+FULL = {
+    "AGPL": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.",),
+    "BSD": (
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
+    "LGPL": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",),
+    "MIT": (
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    "MPL": ("If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+}
 # Sentences that use the words of notices without granting or reserving anything.
 OTHER = (
     "A license is required to drive a car on public roads.", "The doctor lost the medical license last year.", "MIT is a university in Cambridge.",
@@ -72,8 +93,11 @@ OTHER = (
     "He reserved all tickets under a false name.", "The driver license office is closed.", "A licensed guide leads the tour, version three of it.", "The public domain is a legal idea.",
     "Wines are sold under license.", "A software license can cost more than the hardware.", "The gnu is an animal of the plains.",
 )
+WINDOWS = ((24, 8), (72, 24))  # words and step of the windows over a block of lines
+GAP = r"\n(?:[^A-Za-z0-9\n]*\n)+"  # lines without a word, comment marks included, end a block
 TRIGGERS = r"(?i)licen[sc]|rights reserved|redistribution and use|permission is hereby|spdx"
 WORD = r"[a-z0-9]+"
+_COMMON = set("about above after before could either first large other people right their there these thing think those under where which whole without would years".split())
 _NOISE = "of and the in that file see for more project page section here data our your text code this site it on as with by".split()
 
 
@@ -82,6 +106,10 @@ def grams(text: str) -> set[str]:
     return {" ".join(words[i:i + n]) for n in range(1, GRAM + 1) for i in range(len(words) - n + 1)}
 
 
+def _texts() -> list[tuple[str, str]]:
+    return [(family, t) for family, ts in TEMPLATES.items() for t in (*ts, *FULL.get(family, ()))]
+
+
 def _variant(text: str, rng: np.random.Generator) -> str:
     words = [w for w in text.split() if rng.random() > 0.1] or text.split()
     noise = list(rng.choice(_NOISE, 2 * int(rng.integers(0, 5))))
@@ -93,10 +121,10 @@ def _examples(rng: np.random.Generator, copies: int) -> tuple[list[set[str]], np
     families = [*TEMPLATES, UNKNOWN]
     texts, labels = [], []
     for k, family in enumerate(families):
-        for text in TEMPLATES.get(family, OTHER):
+        for text in [t for f, t in _texts() if f == family] or OTHER:
             texts += [text, *(_variant(text, rng) for _ in range(copies))]
             labels += [k] * (copies + 1)
-    for text in (t for ts in TEMPLATES.values() for t in ts):  # a few words of a notice are no notice
+    for _, text in _texts():  # a few words of a notice are no notice
         words = text.split()
         for _ in range(2):
             start = int(rng.integers(0, len(words)))
@@ -115,7 +143,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def model() -> dict:
     """Vocabulary, weights, bias, temperature and the templates' n-grams; trained once per driver."""
     families = [*TEMPLATES, UNKNOWN]
-    vocabulary = sorted(set().union(*(grams(t) for ts in TEMPLATES.values() for t in ts)))
+    vocabulary = sorted(set().union(*(grams(t) for _, t in _texts())))
     index = {g: i for i, g in enumerate(vocabulary)}
 
     def matrix(sets):
@@ -147,18 +175,40 @@ def model() -> dict:
     _, temperature, shift = best
     bias = bias / temperature
     bias[-1] += shift
-    templates = [(family, grams(t)) for family, ts in TEMPLATES.items() for t in ts]
+    templates = [(family, grams(t)) for family, t in _texts()]
     return {"families": families, "vocabulary": vocabulary, "weights": weights / temperature, "bias": bias, "templates": templates}
 
 
+@functools.cache
+def anchors() -> list[str]:
+    """Words of which every text has one that covers ``COVERAGE`` of a template: without them too little of it is left."""
+    chosen: set[str] = set()
+    count = Counter(w for _, t in _texts() for w in set(re.findall(WORD, t.lower())))
+    for text in sorted((t for _, t in _texts()), key=len):
+        every = grams(text)
+        while True:
+            left = [g for g in every if chosen.isdisjoint(g.split())]
+            if len(left) < COVERAGE * len(every) - 1e-9:
+                break
+            hits = Counter(w for g in left for w in set(g.split()))
+            chosen.add(min(hits, key=lambda w: (len(w) < 5, w in _COMMON, -hits[w], -count[w], w)))
+    return sorted(chosen)
+
+
 def _runs(n: int):
     """All runs of ``n`` words of the column ``words``."""
     starts = F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - n + 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.array_join(F.slice("words", i, n), " "))
 
 
+def _windows(words, size: int, step: int):
+    """Overlapping windows of ``size`` words, one at least."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - size + step), F.lit(step))
+    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, size), " "))
+
+
 def paragraph_licences(docs: DataFrame) -> DataFrame:
-    """Per paragraph with a trigger: row_id, doc_id, paragraph, line, family, probability, coverage, confirmed; documents without one have one row without line."""
+    """Per line or window that has a trigger or anchor: row_id, doc_id, paragraph, line, window, family, probability, coverage, confirmed; documents without one have one row without line."""
     m = model()
     families, templates = m["families"], m["templates"]
     columns = [f"w{k}" for k in range(len(families))] + [f"t{k}" for k in range(len(templates))]
@@ -166,30 +216,42 @@ def paragraph_licences(docs: DataFrame) -> DataFrame:
         (g, *(float(w) for w in m["weights"][i]), *(1.0 / len(t) if g in t else 0.0 for _, t in templates)) for i, g in enumerate(m["vocabulary"])]
     # bounded by the notices above
     table = F.broadcast(docs.sparkSession.createDataFrame(rows, "gram string, " + ", ".join(f"{c} double" for c in columns)))
+    anchor = rf"(?i)(?<![a-z0-9])(?:{'|'.join(anchors())})(?![a-z0-9])"
     # a document without such paragraphs stays as one row without a paragraph
-    every = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line, i: F.struct(i.alias("paragraph"), line.alias("line")))
+    text = F.coalesce("text", F.lit(""))
+    every = F.transform(F.split(text, "\n"), lambda line, i: F.struct(i.alias("paragraph"), line.alias("line"), F.lit(False).alias("window")))
+    blocks = F.filter(F.split(F.regexp_replace(text, r"(?mi)^[^a-z0-9\n]*(?:rem|dnl)[ \t]", ""), GAP), lambda b: b.rlike(anchor))
+    words = F.transform(blocks, lambda b: F.regexp_extract_all(F.lower(b), F.lit(f"({WORD})")))
+    cut = F.flatten(F.transform(words, lambda w: F.concat(*[_windows(w, *sizes) for sizes in WINDOWS])))
+    windows = F.transform(F.filter(F.array_distinct(cut), lambda c: c.rlike(anchor)), lambda c: F.struct(F.lit(-1).alias("paragraph"), c.alias("line"), F.lit(True).alias("window")))
+    units = F.when(text.rlike(f"{TRIGGERS}|{anchor}"), F.concat(F.filter(every, lambda p: p["line"].rlike(TRIGGERS)), windows))
     # numbered in a step of its own: inside the one that explodes, every line would get a number
     numbered = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = numbered.select("row_id", "doc_id", F.explode_outer(F.filter(every, lambda p: p["line"].rlike(TRIGGERS))).alias("p")).select(
-        "row_id", "doc_id", "p.paragraph", "p.line")
+    lines = numbered.select("row_id", "doc_id", F.explode_outer(units).alias("p")).select("row_id", "doc_id", "p.paragraph", "p.line", "p.window")
     words = F.regexp_extract_all(F.lower("line"), F.lit(f"({WORD})"))
     sizes = [_runs(n) for n in range(1, GRAM + 1)]
     split = lines.withColumn("words", words).withColumn("gram", F.explode_outer(F.array_distinct(F.concat(*sizes)))).drop("words")
-    sums = split.join(table, "gram", "left").groupBy("row_id", "doc_id", "paragraph", "line").agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in columns])
+    sums = split.join(table, "gram", "left").groupBy("row_id", "doc_id", "paragraph", "line", "window").agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in columns])
     logits = [F.col(f"w{k}") + F.lit(float(b)) for k, b in enumerate(m["bias"])]
     top = F.greatest(*logits)
     total = sum((F.exp(z - top) for z in logits[1:]), F.exp(logits[0] - top))
     family = F.coalesce(*[F.when(z == top, F.lit(f)) for z, f in zip(logits, families)])
     cover = F.coalesce(*[
         F.when(F.col("family") == f, F.greatest(*[F.col(f"t{k}") for k, (g, _) in enumerate(templates) if g == f], F.lit(0.0))) for f in TEMPLATES], F.lit(0.0))
-    named = sums.select("row_id", "doc_id", "paragraph", "line", family.alias("family"), (1 / total).alias("probability"), *columns[len(families):])
+    best = F.greatest(*[f"t{k}" for k in range(len(templates))])  # part of a notice in a window is no notice of a family that is worded alike
+    named = sums.select("row_id", "doc_id", "paragraph", "line", "window", family.alias("family"), (1 / total).alias("probability"), *columns[len(families):])
     return named.withColumn("coverage", cover).select(
-        "row_id", "doc_id", "paragraph", "line", "family", "probability", "coverage", (F.col("coverage") >= COVERAGE).alias("confirmed"))
+        "row_id", "doc_id", "paragraph", "line", "window", "family", "probability", "coverage", ((F.col("coverage") >= COVERAGE) & (~F.col("window") | (F.col("coverage") >= best - 1e-9))).alias("confirmed"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, licences (confirmed families, sorted, joined by a comma), n_notices and n_unknown per row of ``docs``."""
-    families = F.array_join(F.sort_array(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",")
-    number = lambda flag: F.coalesce(F.sum((F.col("line").isNotNull() & flag).cast("long")), F.lit(0))
+    """doc_id, licences (confirmed families, sorted, joined by a comma), n_notices and n_unknown per row of ``docs``.
+
+    Notices are confirmed lines and the families that only windows confirm; unknown are the other lines with a trigger.
+    """
+    named = lambda flag: F.collect_set(F.when(F.col("confirmed") & flag, F.col("family")))
+    number = lambda flag: F.coalesce(F.sum((F.col("line").isNotNull() & ~F.col("window") & flag).cast("long")), F.lit(0))
+    wrapped = F.size(F.array_except(named(F.col("window")), named(~F.col("window"))))
     return paragraph_licences(docs).groupBy("row_id", "doc_id").agg(
-        families.alias("licences"), number(F.col("confirmed")).alias("n_notices"), number(~F.col("confirmed")).alias("n_unknown")).drop("row_id")
+        F.array_join(F.sort_array(named(F.lit(True))), ",").alias("licences"), (number(F.col("confirmed")) + wrapped).alias("n_notices"),
+        number(~F.col("confirmed") & F.col("line").rlike(TRIGGERS)).alias("n_unknown")).drop("row_id")
