@@ -224,7 +224,7 @@ def paragraph_licences(docs: DataFrame) -> DataFrame:
     words = F.transform(blocks, lambda b: F.regexp_extract_all(F.lower(b), F.lit(f"({WORD})")))
     cut = F.flatten(F.transform(words, lambda w: F.concat(*[_windows(w, *sizes) for sizes in WINDOWS])))
     windows = F.transform(F.filter(F.array_distinct(cut), lambda c: c.rlike(anchor)), lambda c: F.struct(F.lit(-1).alias("paragraph"), c.alias("line"), F.lit(True).alias("window")))
-    units = F.when(text.rlike(f"{TRIGGERS}|{anchor}"), F.concat(F.filter(every, lambda p: p["line"].rlike(TRIGGERS)), windows))
+    units = F.when(text.rlike(f"{TRIGGERS}|{anchor}"), F.concat(F.filter(every, lambda p: p["line"].rlike(f"{TRIGGERS}|{anchor}")), windows))
     # numbered in a step of its own: inside the one that explodes, every line would get a number
     numbered = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     lines = numbered.select("row_id", "doc_id", F.explode_outer(units).alias("p")).select("row_id", "doc_id", "p.paragraph", "p.line", "p.window")

@@ -222,3 +222,15 @@ def test_licence_wrapped_texts(spark):
     docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
     got = {r.doc_id: r.licences for r in license_scan.scan(docs).collect()}
     assert {name: got[i] for i, (name, _) in enumerate(rows)} == {name: name.split()[0] for name, _ in rows}
+
+
+def test_licence_lines_without_trigger(spark):
+    rows = [(1, "This is free and unencumbered software released into the public domain."), (2, "This Source Code Form is subject to the terms of the Mozilla Public")]
+    got = {r.doc_id: (r.licences, r.n_notices) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("Unlicense", 1), 2: ("MPL", 1)}
+
+
+def test_licence_anchors_lose_nothing():
+    anchors = set(license_scan.anchors())
+    for _, template in license_scan.model()["templates"]:
+        assert sum(anchors.isdisjoint(g.split()) for g in template) < license_scan.COVERAGE * len(template)
