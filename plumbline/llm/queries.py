@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    chat_format, embedding_dedup, exact_dedup, html_text, license_scan, mixing, ngram_join, packing, quality, substring_dedup,
+    chat_format, embedding_dedup, exact_dedup, html_text, license_scan, mixing, ngram_join, packing, periodic_runs, quality,
+    rule_forest, substring_dedup, whitening,
 )
 from plumbline.llm.shared import read
 
@@ -159,3 +160,42 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_license_scan")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; every tenth document, by hash of its id, repeats a stretch of its words up to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    marked = docs.select(
+        "doc_id", "text", g.alias("g"), F.when((h % 10 == 0) & F.col("text").isNotNull(), F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("w"))
+    n = F.size("w")
+    sized = marked.withColumns({"n": n, "a": F.when(n > 0, F.col("g") % F.greatest(n, F.lit(1))).cast("int")})
+    left = F.col("n") - F.col("a")
+    sized = sized.withColumn("p", (1 + F.floor(left / (3 + F.col("g") % 8))).cast("int"))
+    times = F.ceil(left / F.col("p")).cast("int")
+    again = F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), times)), F.lit(1), left)
+    return sized.select("doc_id", F.when(F.col("n") > 0, F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), again), " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_planted_runs(read(spark, sf_dir, "documents")))
+    most = F.array_max(F.transform("runs", lambda r: F.struct(
+        (r["length"] / r["period"]).alias("exponent"), (-r["start"]).alias("start"), (-r["period"]).alias("period"), r["length"].alias("length"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    ranked = found.withColumn("most", most)
+    return ranked.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("most.start")).alias("start"), F.col("most.length").alias("length"),
+        (-F.col("most.period")).alias("period"), F.floor(1000 * F.col("most.length") / -F.col("most.period")).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_vectors(read(spark, sf_dir, "embeddings"))
+
+
+@query("op13_quality_rules")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_forest.judged_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
