@@ -121,8 +121,11 @@ def runs_at(word: np.ndarray, lags: np.ndarray, places: np.ndarray) -> list[tupl
     """(start, length, period) of the runs of one document, from the places that the lag scan found in it."""
     runs: list[tuple[int, int, int]] = []
     begins = reach = np.empty(0, np.int64)
-    for lag in np.unique(lags).tolist():
-        candidates = np.sort(places[lags == lag])
+    order = np.lexsort((places, lags))
+    lags, places = lags[order], places[order]
+    first = np.flatnonzero(np.append(True, lags[1:] != lags[:-1])) if len(lags) else np.empty(0, np.int64)
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(lags)]):
+        lag, candidates = int(lags[a]), places[a:b]
         if len(begins):  # inside a run of a smaller period, which divides this lag
             k = np.searchsorted(begins, candidates, side="right")
             candidates = candidates[(k == 0) | (reach[k - 1] <= candidates + 3 * lag)]
