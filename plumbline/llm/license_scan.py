@@ -9,9 +9,11 @@ family counts only if a template of that family confirms it: the n-grams of the
 
 The model is trained when first used, on the driver: from the fixed notices below, varied by leaving out, adding and
 changing words, against sentences that use the same words otherwise. Its size is set by the notices, not by the input, so
-the weights are a table of bounded size that goes to every task. Only paragraphs with one of ``TRIGGERS`` (they count
-as unknown otherwise) or one of ``anchors`` are split into n-grams. The anchors are derived from the templates: what has
-none of them cannot cover ``COVERAGE`` of any template.
+the weights are a table of bounded size that goes to every task. Only documents, lines and windows with one of
+``TRIGGERS`` (they count as unknown otherwise) or one of ``key_grams`` are split into n-grams. The key n-grams are
+derived from the templates: of the k n-grams of a template any fixed ``k - ceil(COVERAGE * k) + 1`` will do, since a text
+that has none of them cannot cover ``COVERAGE`` of it; the longest are taken, which other texts hardly hold.
+Paragraphs and windows are known by numbers and word positions; no text takes part in a shuffle.
 
 Edge cases: null and empty texts have no paragraph and no licence. A row is one document, also if doc_ids repeat or
 are null. Equal paragraphs of a document count each. Empty tables give empty results. Other columns are not read.
@@ -20,6 +22,7 @@ are null. Equal paragraphs of a document count each. Empty tables give empty res
 from __future__ import annotations
 
 import functools
+import math
 import re
 from collections import Counter
 
@@ -94,10 +97,10 @@ OTHER = (
     "Wines are sold under license.", "A software license can cost more than the hardware.", "The gnu is an animal of the plains.",
 )
 WINDOWS = ((24, 8), (72, 24))  # words and step of the windows over a block of lines
-GAP = r"\n(?:[^A-Za-z0-9\n]*\n)+"  # lines without a word, comment marks included, end a block
-TRIGGERS = r"(?i)licen[sc]|rights reserved|redistribution and use|permission is hereby|spdx"
+GAP = r"\n(?:[^a-z0-9\n]*\n)+"  # lines without a word, comment marks included, end a block
+TRIGGERS = r"licen[sc]|rights reserved|redistribution and use|permission is hereby|spdx"
 WORD = r"[a-z0-9]+"
-_COMMON = set("about above after before could either first large other people right their there these thing think those under where which whole without would years".split())
+BETWEEN = r"[^a-z0-9]++(?:(?:rem|dnl)[ \t][^a-z0-9]*+)?"  # two words of a text that may be wrapped and commented
 _NOISE = "of and the in that file see for more project page section here data our your text code this site it on as with by".split()
 
 
@@ -180,19 +183,33 @@ def model() -> dict:
 
 
 @functools.cache
-def anchors() -> list[str]:
-    """Words of which every text has one that covers ``COVERAGE`` of a template: without them too little of it is left."""
+def key_grams() -> list[str]:
+    """n-grams of which every text has one that covers ``COVERAGE`` of a template; long ones, fixed with the model."""
+    shared_by = Counter(g for _, t in model()["templates"] for g in t)
     chosen: set[str] = set()
-    count = Counter(w for _, t in _texts() for w in set(re.findall(WORD, t.lower())))
-    for text in sorted((t for _, t in _texts()), key=len):
-        every = grams(text)
-        while True:
-            left = [g for g in every if chosen.isdisjoint(g.split())]
-            if len(left) < COVERAGE * len(every) - 1e-9:
-                break
-            hits = Counter(w for g in left for w in set(g.split()))
-            chosen.add(min(hits, key=lambda w: (len(w) < 5, w in _COMMON, -hits[w], -count[w], w)))
-    return sorted(chosen)
+    for _, template in model()["templates"]:
+        needed = len(template) - math.ceil(COVERAGE * len(template) - 1e-9) + 1
+        chosen |= set(sorted(template, key=lambda g: (-g.count(" "), -shared_by[g], g))[:needed])
+    inside = lambda g: {" ".join(w[i:j]) for w in [g.split()] for i in range(len(w)) for j in range(i + 1, len(w) + 1)} - {g}
+    return sorted(g for g in chosen if chosen.isdisjoint(inside(g)))  # what holds a longer one holds the shorter one
+
+
+@functools.cache
+def key_pattern() -> str:
+    """Pattern of lower-case texts with one of the key n-grams, comment marks between its words allowed."""
+    tree: dict = {}
+    for g in key_grams():
+        node = tree
+        for c in g + "\n":
+            node = node.setdefault(c, {})
+
+    def pattern(node: dict) -> str:
+        parts = []
+        for c, below in sorted(node.items()):
+            parts.append("(?![a-z0-9])" if c == "\n" else (BETWEEN if c == " " else c) + pattern(below))
+        return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+    return "(?<![a-z0-9])" + pattern(tree)
 
 
 def _runs(n: int):
@@ -202,36 +219,46 @@ def _runs(n: int):
 
 
 def _windows(words, size: int, step: int):
-    """Overlapping windows of ``size`` words, one at least."""
+    """First words of overlapping windows of ``size`` words, one at least, and the windows."""
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - size + step), F.lit(step))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, size), " "))
+    return F.transform(starts, lambda i: F.struct((i - 1).alias("start"), F.slice(words, i, size).alias("words")))
+
+
+def _units(text):
+    """Lines with a trigger or key n-gram, and windows with a key n-gram, of a lower-case text."""
+    key = key_pattern()
+    found = lambda words: F.array_join(words, " ").rlike(key)
+    lines = F.transform(F.split(text, "\n"), lambda line, i: F.struct(
+        i.alias("paragraph"), F.lit(0).alias("start"), F.regexp_extract_all(line, F.lit(f"({WORD})")).alias("words"), F.lit(False).alias("window"), line.rlike(TRIGGERS).alias("trigger")))
+    blocks = F.split(F.regexp_replace(text, r"(?m)^[^a-z0-9\n]*(?:rem|dnl)[ \t]", ""), GAP)
+    words = F.transform(blocks, lambda b: F.regexp_extract_all(F.when(b.rlike(key), b).otherwise(""), F.lit(f"({WORD})")))
+    windows = F.flatten(F.transform(words, lambda w, i: F.transform(F.concat(*[_windows(w, *sizes) for sizes in WINDOWS]), lambda c: F.struct(
+        i.alias("paragraph"), c["start"].alias("start"), c["words"].alias("words"), F.lit(True).alias("window"), F.lit(False).alias("trigger")))))
+    return F.concat(F.filter(lines, lambda p: p["trigger"] | found(p["words"])), F.filter(windows, lambda p: found(p["words"])))
 
 
 def paragraph_licences(docs: DataFrame) -> DataFrame:
-    """Per line or window that has a trigger or anchor: row_id, doc_id, paragraph, line, window, family, probability, coverage, confirmed; documents without one have one row without line."""
+    """Per line or window that has a trigger or key n-gram: row_id, doc_id, unit, paragraph (number of the line or block of lines), start and size (in words),
+    window, trigger, family, probability, coverage, confirmed; documents without one have one row without unit."""
     m = model()
     families, templates = m["families"], m["templates"]
     columns = [f"w{k}" for k in range(len(families))] + [f"t{k}" for k in range(len(templates))]
     rows = [
         (g, *(float(w) for w in m["weights"][i]), *(1.0 / len(t) if g in t else 0.0 for _, t in templates)) for i, g in enumerate(m["vocabulary"])]
+    rows.append(("", *[0.0] * len(columns)))  # every unit has this one, so that it stays when it has no other
     # bounded by the notices above
     table = F.broadcast(docs.sparkSession.createDataFrame(rows, "gram string, " + ", ".join(f"{c} double" for c in columns)))
-    anchor = rf"(?i)(?<![a-z0-9])(?:{'|'.join(anchors())})(?![a-z0-9])"
-    # a document without such paragraphs stays as one row without a paragraph
-    text = F.coalesce("text", F.lit(""))
-    every = F.transform(F.split(text, "\n"), lambda line, i: F.struct(i.alias("paragraph"), line.alias("line"), F.lit(False).alias("window")))
-    blocks = F.filter(F.split(F.regexp_replace(text, r"(?mi)^[^a-z0-9\n]*(?:rem|dnl)[ \t]", ""), GAP), lambda b: b.rlike(anchor))
-    words = F.transform(blocks, lambda b: F.regexp_extract_all(F.lower(b), F.lit(f"({WORD})")))
-    cut = F.flatten(F.transform(words, lambda w: F.concat(*[_windows(w, *sizes) for sizes in WINDOWS])))
-    windows = F.transform(F.filter(F.array_distinct(cut), lambda c: c.rlike(anchor)), lambda c: F.struct(F.lit(-1).alias("paragraph"), c.alias("line"), F.lit(True).alias("window")))
-    units = F.when(text.rlike(f"{TRIGGERS}|{anchor}"), F.concat(F.filter(every, lambda p: p["line"].rlike(f"{TRIGGERS}|{anchor}")), windows))
     # numbered in a step of its own: inside the one that explodes, every line would get a number
-    numbered = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = numbered.select("row_id", "doc_id", F.explode_outer(units).alias("p")).select("row_id", "doc_id", "p.paragraph", "p.line", "p.window")
-    words = F.regexp_extract_all(F.lower("line"), F.lit(f"({WORD})"))
+    numbered = docs.select(
+        F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    units = F.when(F.col("text").rlike(f"{TRIGGERS}|{key_pattern()}"), _units(F.col("text")))
+    place = ["row_id", "doc_id", "unit", "paragraph", "start", "size", "window", "trigger"]
+    lines = numbered.select("row_id", "doc_id", F.posexplode_outer(units).alias("unit", "p")).select(
+        "row_id", "doc_id", "unit", "p.paragraph", "p.start", F.size("p.words").alias("size"), "p.window", "p.trigger", "p.words")
     sizes = [_runs(n) for n in range(1, GRAM + 1)]
-    split = lines.withColumn("words", words).withColumn("gram", F.explode_outer(F.array_distinct(F.concat(*sizes)))).drop("words")
-    sums = split.join(table, "gram", "left").groupBy("row_id", "doc_id", "paragraph", "line", "window").agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in columns])
+    nothing = F.array(F.lit(""))
+    split = lines.withColumn("gram", F.explode(F.coalesce(F.concat(nothing, F.array_distinct(F.concat(*sizes))), nothing))).drop("words")
+    sums = split.join(table, "gram").groupBy(*place).agg(*[F.sum(c).alias(c) for c in columns])
     logits = [F.col(f"w{k}") + F.lit(float(b)) for k, b in enumerate(m["bias"])]
     top = F.greatest(*logits)
     total = sum((F.exp(z - top) for z in logits[1:]), F.exp(logits[0] - top))
@@ -239,9 +266,9 @@ def paragraph_licences(docs: DataFrame) -> DataFrame:
     cover = F.coalesce(*[
         F.when(F.col("family") == f, F.greatest(*[F.col(f"t{k}") for k, (g, _) in enumerate(templates) if g == f], F.lit(0.0))) for f in TEMPLATES], F.lit(0.0))
     best = F.greatest(*[f"t{k}" for k in range(len(templates))])  # part of a notice in a window is no notice of a family that is worded alike
-    named = sums.select("row_id", "doc_id", "paragraph", "line", "window", family.alias("family"), (1 / total).alias("probability"), *columns[len(families):])
+    named = sums.select(*place, family.alias("family"), (1 / total).alias("probability"), *columns[len(families):])
     return named.withColumn("coverage", cover).select(
-        "row_id", "doc_id", "paragraph", "line", "window", "family", "probability", "coverage", ((F.col("coverage") >= COVERAGE) & (~F.col("window") | (F.col("coverage") >= best - 1e-9))).alias("confirmed"))
+        *place, "family", "probability", "coverage", ((F.col("coverage") >= COVERAGE - 1e-9) & (~F.col("window") | (F.col("coverage") >= best - 1e-9))).alias("confirmed"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -250,8 +277,8 @@ def scan(docs: DataFrame) -> DataFrame:
     Notices are confirmed lines and the families that only windows confirm; unknown are the other lines with a trigger.
     """
     named = lambda flag: F.collect_set(F.when(F.col("confirmed") & flag, F.col("family")))
-    number = lambda flag: F.coalesce(F.sum((F.col("line").isNotNull() & ~F.col("window") & flag).cast("long")), F.lit(0))
+    number = lambda flag: F.coalesce(F.sum((F.col("unit").isNotNull() & ~F.col("window") & flag).cast("long")), F.lit(0))
     wrapped = F.size(F.array_except(named(F.col("window")), named(~F.col("window"))))
     return paragraph_licences(docs).groupBy("row_id", "doc_id").agg(
         F.array_join(F.sort_array(named(F.lit(True))), ",").alias("licences"), (number(F.col("confirmed")) + wrapped).alias("n_notices"),
-        number(~F.col("confirmed") & F.col("line").rlike(TRIGGERS)).alias("n_unknown")).drop("row_id")
+        number(~F.col("confirmed") & F.col("trigger")).alias("n_unknown")).drop("row_id")
