@@ -40,16 +40,11 @@ def digest(chunk, bits: int = 64):
     return value if bits == 64 else value.bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def text_tag(text):
-    """Tells rows of one doc_id apart by their text."""
-    return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
 def recipes(docs: DataFrame, bits: int = 64) -> DataFrame:
     """(doc_id, tag, n_points, text_sha, recipe) per row of ``docs``, written to the shared folder."""
     text = F.col("text")
     return shared.written(docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), text_tag(text).alias("tag"),
+        F.col("doc_id").cast("long").alias("doc_id"), shared.text_tag(text).alias("tag"),
         F.length(F.coalesce(text, F.lit(""))).alias("n_points"),
         F.unhex(F.sha2(normalised(text).cast("binary"), 256)).alias("text_sha"),
         F.transform(chunks(text), lambda c: digest(c, bits)).alias("recipe"),
@@ -66,7 +61,7 @@ def contested_digests(docs: DataFrame, bits: int = 64) -> DataFrame:
 def with_content_numbers(docs: DataFrame, table: DataFrame, contested: DataFrame, bits: int) -> DataFrame:
     """``table`` with recipes that also name the content of every chunk whose digest is contested."""
     places = docs.select(
-        F.col("doc_id").cast("long").alias("d"), text_tag(F.col("text")).alias("t"),
+        F.col("doc_id").cast("long").alias("d"), shared.text_tag(F.col("text")).alias("t"),
         F.posexplode(chunks(F.col("text"))).alias("place", "chunk"),
     ).withColumn("digest", digest(F.col("chunk"), bits)).join(contested, "digest", "left_semi")
     contents = places.select("digest", "chunk").distinct()
@@ -109,12 +104,4 @@ def exact_groups(docs: DataFrame, bits: int = 64) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
-    marks = shared.written(exact_groups(docs).select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), "kept"))
-    gone = marks.where(~F.col("kept")).select("__id", "__tag").distinct()
-    repeats = marks.where("kept").groupBy("__id", "__tag").count().where("count > 1").select("__id", "__tag")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (text_tag(F.col("text")) == F.col("__tag"))
-    rest = docs.join(gone, same, "left_anti")
-    if repeats.isEmpty():
-        return rest
-    once = rest.join(repeats, same, "left_semi").withColumn("__text", text_tag(F.col("text")))
-    return rest.join(repeats, same, "left_anti").unionByName(once.dropDuplicates(["doc_id", "__text"]).drop("__text"))
+    return shared.kept_rows(docs, exact_groups(docs))

@@ -116,7 +116,7 @@ def mixed_documents(docs: DataFrame, seed: str = SEED, **targets) -> DataFrame:
     _, cuts = source_cuts(docs, seed, **targets)
     # the row travels as one value, so its column names cannot clash with those used here
     rows = docs.select(
-        F.struct(*docs.columns).alias("row"), mix_key(seed).alias("key"), shared.word_count(F.col("text")).alias("size"), "source")
+        F.struct(*["`" + c.replace("`", "``") + "`" for c in docs.columns]).alias("row"), mix_key(seed).alias("key"), shared.word_count(F.col("text")).alias("size"), "source")
     taken = rows.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")), "left").withColumn("taken", taken_words())
     whole = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size")))
     part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0)

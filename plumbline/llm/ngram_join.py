@@ -78,7 +78,7 @@ def needed_overlap(n: np.ndarray) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, a, b, n) per document and (part, counts) of shingle counts per task, in one table."""
+    """Rows (doc_id, tag, a, b, n) per document and (part, counts) of shingle counts per task, in one table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNT_BITS, dtype=np.int32)
@@ -92,14 +92,15 @@ def document_sets(docs: DataFrame) -> DataFrame:
                     counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(counts)).astype(np.int32)
                 none = pa.nulls(len(part))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), shared.signed(a), shared.signed(b), pa.array(n), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+                    [part.column("doc_id"), part.column("tag"), shared.signed(a), shared.signed(b), pa.array(n), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         found = [(i, c.tobytes()) for i, c in enumerate(counts.reshape(COUNT_PARTS, -1)) if c.any()]
         none = pa.nulls(len(found), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [none, none, none, none, pa.array([i for i, _ in found], pa.int32()), pa.array([c for _, c in found], pa.binary())], names=names)
+            [none, none, none, none, none, pa.array([i for i, _ in found], pa.int32()), pa.array([c for _, c in found], pa.binary())], names=names)
 
-    names = ["doc_id", "a", "b", "n", "part", "counts"]
-    return shared.written(_texts(docs).mapInArrow(run, "doc_id long, a long, b long, n long, part int, counts binary"))
+    names = ["doc_id", "tag", "a", "b", "n", "part", "counts"]
+    tagged = _texts(docs).select("doc_id", shared.text_tag(F.col("text")).alias("tag"), "text")
+    return shared.written(tagged.mapInArrow(run, "doc_id long, tag long, a long, b long, n long, part int, counts binary"))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -299,13 +300,17 @@ def remaining_pairs(rows: DataFrame) -> DataFrame:
     return pairs.where(matches >= F.greatest("xmatches", "need")).select(F.col("xa").alias("x"), F.col("ya").alias("y"))
 
 
-def similar_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id per row of ``docs``."""
+def grouped_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, tag, a, b, n) of the documents, and (ca, cb, component, first) of each class of equal sets.
+
+    ``component`` is the smallest doc_id of all linked classes, ``first`` its row: (null or not, doc_id, tag).
+    """
     table = document_sets(docs)
     levels = frequency_levels(table)
-    rows = table.where("part IS NULL").select("doc_id", "a", "b", "n")
+    rows = table.where("part IS NULL").select("doc_id", "tag", "a", "b", "n")
     classes = shared.written(
-        rows.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("least_id")).withColumn("class", F.monotonically_increasing_id()))
+        rows.where("n > 0").groupBy("a", "b").agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tag")).alias("least")).withColumn("class", F.monotonically_increasing_id()))
     posted = shared_postings(postings(docs, levels))
     found, labels = [], None
     for number in range(STAR_ROUNDS):
@@ -319,14 +324,28 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         links = links.join(classes.select(F.col("a").alias(s + "a"), F.col("b").alias(s + "b"), F.col("class").alias(s)), [s + "a", s + "b"])
     roots = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
     grouped = classes.join(roots, F.col("class") == F.col("node"), "left").withColumn("group", F.coalesce("root", "class"))
-    ids = grouped.groupBy("group").agg(F.min("least_id").alias("component"))
+    ids = grouped.groupBy("group").agg(F.min("least").alias("first"))
     # written first: the join of the rows has plain exchanges, and a class with a third of all rows can be split
-    named = shared.written(grouped.join(ids, "group").select(F.col("a").alias("ca"), F.col("b").alias("cb"), "component"))
-    return rows.join(named, (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")) & (F.col("n") > 0), "left").select(
+    named = shared.written(grouped.join(ids, "group").select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.col("first.doc_id").alias("component"), "first"))
+    return rows, named
+
+
+def _with_component(rows: DataFrame, named: DataFrame) -> DataFrame:
+    return rows.join(named, (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")) & (F.col("n") > 0), "left")
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id per row of ``docs``."""
+    return _with_component(*grouped_rows(docs)).select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each group of near copies: that of the component's doc_id. Rows without words and null ids stay."""
-    gone = similar_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """One row of each group of near copies: that of the smallest doc_id (null last), then of the smallest text hash.
+
+    Rows are told apart by doc_id and text, so a row goes only for its own text. Rows without words stay, rows that
+    agree in doc_id and text are one document.
+    """
+    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tag")
+    marks = _with_component(*grouped_rows(docs)).select("doc_id", "tag", F.coalesce(own.eqNullSafe(F.col("first")) | F.col("first").isNull(), F.lit(True)).alias("kept"))
+    return shared.kept_rows(docs, marks)

@@ -61,6 +61,40 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, with underscores added where ``df`` has them already."""
+    taken = {c.lower() for c in df.columns}
+    names = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        names.append(name)
+    return names
+
+
+def text_tag(text):
+    """Tells rows of one doc_id apart by their text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def kept_rows(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``marks`` (doc_id, tag, kept; see ``text_tag``) keeps, with their columns.
+
+    A row that ``marks`` does not name stays. Rows that agree in doc_id and text are one document: one of them stays.
+    """
+    i, t, own = free_names(docs, "id", "tag", "own")
+    named = written(marks.select(F.col("doc_id").alias(i), F.col("tag").alias(t), "kept"))
+    gone = named.where(~F.col("kept")).select(i, t).distinct()
+    repeats = named.where("kept").groupBy(i, t).count().where("count > 1").select(i, t)
+    same = F.col("doc_id").eqNullSafe(F.col(i)) & (text_tag(F.col("text")) == F.col(t))
+    rest = docs.join(gone, same, "left_anti")
+    if repeats.isEmpty():
+        return rest
+    once = rest.join(repeats, same, "left_semi").withColumn(own, text_tag(F.col("text")))
+    return rest.join(repeats, same, "left_anti").unionByName(once.dropDuplicates(["doc_id", own]).drop(own))
+
+
 def word_count(text):
     """Number of words as a SQL expression; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

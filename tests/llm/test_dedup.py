@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 from plumbline.llm import components, embedding_dedup, exact_dedup, ngram_join, queries, substring_dedup
+from pyspark.sql import types as T
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -211,3 +212,57 @@ def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (6, 5), (5, 9), (20, 10), (4, 4)] + [(100 + i, 101 + i) for i in range(60)]
     got = {tuple(r) for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {(2, 1), (3, 1), (6, 5), (7, 5), (8, 5), (9, 5), (20, 10)} | {(101 + i, 100) for i in range(60)}
+
+
+CLASHES = ["id", "tag", "own", "kept", "__id", "__gone", "first", "a.b", "row`x"]
+
+
+def clashing(spark, rows):
+    """Rows with columns named like those that the operators use, a dot and a back quote among them."""
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in CLASHES]])
+    return spark.createDataFrame([(*r, *range(len(CLASHES))) for r in rows], schema)
+
+
+NEAR = " ".join(f"n{i}" for i in range(120))
+SHARED_IDS = [(1, NEAR), (2, NEAR + " x"), (2, "a different text of document two with words of its own"), (None, NEAR + " y"), (None, NEAR + " y z"),
+              (None, "a text without a number that nothing else is like"), (3, NEAR.upper()), (3, NEAR.upper()), (4, None), (4, ""), (5, " "), (0, "a b c d e f g h")]
+
+
+def test_near_copies_that_share_ids_or_have_none(spark):
+    """Only the near copies go: not the other text of the same doc_id, and not one of the null ids with a text of its own."""
+    docs = clashing(spark, SHARED_IDS)
+    kept = ngram_join.keep_first(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    gone = {(2, NEAR + " x"), (None, NEAR + " y"), (None, NEAR + " y z"), (3, NEAR.upper())}
+    assert got == sorted([r for r in SHARED_IDS if r not in gone and r != (4, None)], key=str) or got == sorted(
+        [r for r in SHARED_IDS if r not in gone and r != (4, "")], key=str)  # null and empty are one document
+
+
+def test_near_copies_without_any_number(spark):
+    kept = ngram_join.keep_first(clashing(spark, [(None, NEAR), (None, NEAR + " x"), (None, NEAR), (None, "something else altogether in this row")])).collect()
+    assert len(kept) == 2 and len({r["text"] for r in kept}) == 2
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_one_row_of_each_component_stays(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(int(rng.integers(0, 12)) if rng.random() > 0.2 else None, t) for _, t in variants(seed, 40, 30)] + [(3, "the odd one " * 4), (None, None)]
+    rows = list({(d, t): None for d, t in rows})
+    sets = [shingles(t) for _, t in rows]
+    links = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    root = components_of(len(rows), links)
+    got = [(r["doc_id"], r["text"]) for r in ngram_join.keep_first(clashing(spark, rows)).collect()]
+    assert len(got) == len(set(root)) and sorted(root[rows.index(g)] for g in got) == sorted(set(root))
+    for r in set(root):
+        ids = [rows[i][0] for i in range(len(rows)) if root[i] == r]
+        mine = next(g for g in got if root[rows.index(g)] == r)
+        assert mine[0] == min((i for i in ids if i is not None), default=None)
+
+
+def test_exact_dedup_with_clashing_columns(spark):
+    docs = clashing(spark, SHARED_IDS)
+    kept = exact_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    norms = [BLANK.sub("", r["text"] or "") for r in kept.collect()]
+    assert sorted(norms) == sorted({BLANK.sub("", t or "") for _, t in SHARED_IDS})
