@@ -189,7 +189,7 @@ def key_grams() -> list[str]:
     chosen: set[str] = set()
     for _, template in model()["templates"]:
         needed = len(template) - math.ceil(COVERAGE * len(template) - 1e-9) + 1
-        chosen |= set(sorted(template, key=lambda g: (-g.count(" "), -shared_by[g], g))[:needed])
+        chosen |= set(sorted(template, key=lambda g: (-g.count(" "), -min(map(len, g.split())), -len(g), -shared_by[g], g))[:needed])
     inside = lambda g: {" ".join(w[i:j]) for w in [g.split()] for i in range(len(w)) for j in range(i + 1, len(w) + 1)} - {g}
     return sorted(g for g in chosen if chosen.isdisjoint(inside(g)))  # what holds a longer one holds the shorter one
 
