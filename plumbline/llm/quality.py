@@ -8,7 +8,7 @@ own, boosted the same way. The score of a text is the logistic function of the s
 looked up for all rows of a batch at once.
 
 Training uses labelled rows of known quality whose ``crc32(doc_id) mod 5`` is not 0, at most ``MAX_LABELLED`` of them
-(the first by hash of the doc_id; a bound on what the driver holds). Everything else covers all rows.
+(the first by hash of the doc_id, one document each; a bound on what the driver holds). Everything else covers all rows.
 
 Edge cases: null and empty texts have all features 0 and get a score like any other. Rows with a null doc_id are
 scored and never trained on. Repeated rows get equal scores. Without labels, or with one class only, the score is
@@ -189,12 +189,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED)
         for batch in batches:
             for part in shared.pieces(batch, "text"):
                 x = features(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("quality"), pa.array(list(x), pa.list_(pa.float32()))], names=["quality", "x"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "tag", "quality")), pa.array(list(x), pa.list_(pa.float32()))], names=["id", "tag", "quality", "x"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     # at most ``limit`` rows of two numbers: small enough to send to every task
-    rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("labelled")).select("text", "quality").mapInArrow(run, "quality int, x array<float>")
-    table = rows.limit(2 * limit).toPandas()
+    rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("labelled")).select(
+        "id", shared.text_tag(F.col("text")).alias("tag"), "text", "quality").mapInArrow(run, "id long, tag long, quality int, x array<float>")
+    # documents may share a labelled doc_id: the one with the smallest text hash counts, so the bound holds and reruns agree
+    table = rows.groupBy("id", "quality").agg(F.min_by("x", "tag").alias("x")).select("quality", "x").toPandas()
     x = np.array(table["x"].tolist(), dtype=np.float32).reshape(-1, len(FEATURES))
     order = np.lexsort(np.column_stack([x, table["quality"]]).T) if len(x) else np.empty(0, int)  # independent of task order
     return x[order], table["quality"].to_numpy(dtype=float)[order]
@@ -206,6 +208,9 @@ def train(docs: DataFrame, labels: DataFrame) -> AdditiveModel:
 
 def with_scores(model: AdditiveModel, rows: DataFrame, keep: bool) -> DataFrame:
     """``rows`` (with a ``text`` column) and their ``score``; or with ``keep`` the rows whose score passes, unchanged."""
+    names = rows.columns
+    # plain names inside: a Python stage cannot take names with dots
+    rows = rows.toDF(*[c if c == "text" else f"c{k}" for k, c in enumerate(names)])
     schema = rows.schema if keep else rows.drop("text").schema.add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +223,7 @@ def with_scores(model: AdditiveModel, rows: DataFrame, keep: bool) -> DataFrame:
                     rest = [c for c in part.schema.names if c != "text"]
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(scores)], names=[*rest, "score"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*(names if keep else [*(c for c in names if c != "text"), "score"]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
