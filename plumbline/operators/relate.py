@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import ColumnInfo, as_text, col, infos, row_fingerprint, share
+from plumbline.functions.columns import ColumnInfo, as_text, col, infos, missing, row_fingerprint, share
 from plumbline.operators.checks import finish_issues
 from plumbline.operators.profile import aggregate_long, scalar_type_flags
 
@@ -290,3 +290,50 @@ def contract_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     b = after.select("dataset", F.col("confidence").alias("confidence_b"))
     change = F.when(F.col("confidence_a").isNull(), "added").when(F.col("confidence_b").isNull(), "removed").otherwise("kept")
     return a.join(b, "dataset", "full_outer").withColumn("change", change)
+
+
+def value_overlaps(tables: dict[str, DataFrame], columns: dict[str, list[str]] | None = None) -> DataFrame:
+    """Distinct values that columns of different tables share, whatever the columns' names.
+
+    dataset_a, column_a, dataset_b, column_b, n_a, n_b (distinct values), n_common. Every table is reduced to its
+    distinct (column, value) in one pass; the values meet once in a census of all columns, where each becomes the set of
+    columns that hold it, as bits. Then only the different sets are counted, so a pair of columns costs nothing per value.
+    Text is compared as it is, numbers as numbers, dates as dates; nulls are left out.
+    """
+    places, entries = [], []
+    for table, df in tables.items():
+        chosen = [i for i in infos(df, (columns or {}).get(table)) if i.kind in ("integer", "float", "text", "date", "boolean")]
+        cells = []
+        for i in chosen:
+            kind = "number" if i.is_numeric else i.kind
+            value = as_text(i) if not i.is_numeric else (col(i.name).cast("double") + F.lit(0.0)).cast("string")
+            cells.append(F.struct(F.lit(len(places)).alias("c"), F.concat(F.lit(kind[0]), F.when(~missing(i), value)).alias("v")))
+            places.append((table, i.name))
+        if cells:
+            entries.append(df.select(F.inline(F.array(*cells))).filter("v IS NOT NULL").distinct())
+    spark = next(iter(tables.values())).sparkSession
+    names = spark.createDataFrame([(k, t, c) for k, (t, c) in enumerate(places)], "c int, dataset string, column_name string")
+    if not entries:
+        entries = [spark.createDataFrame([], "c int, v string")]
+    held_by = reduce(DataFrame.unionByName, entries).groupBy("v").agg(F.sort_array(F.collect_set("c")).alias("cs"))  # a column once per value
+    sets = held_by.groupBy("cs").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sets.select(F.explode("cs").alias("c"), "n").groupBy("c").agg(F.sum("n").alias("size"))
+    both = sets.select(F.explode("cs").alias("ca"), "cs", "n").select("ca", F.explode("cs").alias("cb"), "n").groupBy("ca", "cb").agg(F.sum("n").alias("n_common"))
+    side = lambda s: names.join(sizes, "c").select(*[F.col(x).alias(f"{x}_{s}") for x in ("c", "dataset", "column_name", "size")])
+    found = both.join(side("a"), F.col("ca") == F.col("c_a")).join(side("b"), F.col("cb") == F.col("c_b")).filter("dataset_a <> dataset_b")
+    return found.select(
+        "dataset_a", F.col("column_name_a").alias("column_a"), "dataset_b", F.col("column_name_b").alias("column_b"),
+        F.col("size_a").alias("n_a"), F.col("size_b").alias("n_b"), "n_common")
+
+
+def potential_join_keys(tables: dict[str, DataFrame], least_share: float = 0.9, least_values: int = 2) -> DataFrame:
+    """Columns whose values lie, but for a small share, in a column of another table that has few others besides.
+
+    Each row says: ``column_a`` could refer to ``column_b``. ``inclusion`` is the share of a's distinct values found in b,
+    ``coverage`` the share of b's that a uses, ``is_complete`` whether all of a's are found.
+    """
+    found = value_overlaps(tables).filter((F.col("n_a") >= least_values) & (F.col("n_common") >= F.col("n_a") * least_share))
+    return found.select(
+        "dataset_a", "column_a", "dataset_b", "column_b", "n_a", "n_b", "n_common",
+        F.round(F.col("n_common") / F.col("n_a"), 6).alias("inclusion"), F.round(F.col("n_common") / F.col("n_b"), 6).alias("coverage"),
+        (F.col("n_common") == F.col("n_a")).alias("is_complete"))

@@ -249,7 +249,7 @@ _COMPARED = {"c_custkey": "integer", "c_name": "text", "c_nationkey": "integer",
 _COMPARED_B = {"s_suppkey": "integer", "s_name": "text", "s_nationkey": "integer", "s_acctbal": "float"}
 
 
-@query("profile_two_datasets", "B21 E12", f"""
+@query("profile_two_datasets", "B21", f"""
 SELECT coalesce(a.k, b.k) AS column_name, a.unique_count AS unique_count_a, b.unique_count AS unique_count_b,
  a.null_pct AS null_pct_a, b.null_pct AS null_pct_b, a.max_number AS max_number_a, b.max_number AS max_number_b,
  round(b.null_pct - a.null_pct, 6) AS null_pct_delta, b.unique_count - a.unique_count AS unique_delta,

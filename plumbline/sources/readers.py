@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -207,6 +208,44 @@ READERS = {
 }
 
 
+def files_of(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files below a path, as Spark lists them; nothing is read."""
+    return [r["path"] for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").orderBy("path").collect()]
+
+
+def unreadable_files(read, files: list[str]) -> list[tuple[str, str]]:
+    """(file, error) of the files that ``read`` cannot read to their end, tried all together first.
+
+    An error that names its file costs one more try without it; otherwise the files are halved until it is found.
+    """
+    def problem(some: list[str]) -> Exception | None:
+        try:
+            read(some).write.format("noop").mode("overwrite").save()
+        except Exception as e:  # noqa: BLE001 - any failure of a file is a finding
+            return e
+        return None
+
+    found, todo = [], [list(files)]
+    while todo:
+        some = todo.pop()
+        error = problem(some) if some else None
+        if error is None:
+            continue
+        named = [f for f in some if f in str(error) or quote(f, safe=":/") in str(error)]
+        if len(some) == 1 or len(named) == 1:
+            bad = named[0] if named else some[0]
+            found.append((bad, first_line(error)))
+            todo.append([f for f in some if f != bad])
+        else:
+            half = len(some) // 2
+            todo += [some[:half], some[half:]]
+    return sorted(found)
+
+
+def first_line(error: Exception) -> str:
+    return f"{type(error).__name__}: {str(error).splitlines()[0][:300]}"
+
+
 class Catalog:
     """Named lazy tables from many sources. A source that fails is recorded, the others load."""
 
@@ -225,8 +264,13 @@ class Catalog:
         self.tables[unique] = df
         return unique
 
-    def load(self, specs: list[dict]) -> "Catalog":
-        """``{"path": …, "format": …, "name": …, "source": …}``; format and name default from the path."""
+    def load(self, specs: list[dict], verify: bool = False) -> "Catalog":
+        """``{"path": …, "format": …, "name": …, "source": …}``; format and name default from the path.
+
+        A source that cannot be opened is recorded and left out. Data that break only while they are read (a torn Parquet
+        file, a cut-off gzip file) are found with ``verify``, which reads each source once: the files that fail are recorded
+        one by one, and the table holds the rest. A source of which every file fails is left out.
+        """
         for spec in specs:
             path = spec["path"]
             base = os.path.basename(path.rstrip("/"))
@@ -237,13 +281,34 @@ class Catalog:
                     df = read_xml(self.spark, path, spec["row_tag"], spec.get("explode"))
                 elif kind == "jdbc":
                     df = read_jdbc(self.spark, path, **spec.get("options", {}))
+                elif verify:
+                    df = self._verified(name, path, kind)
                 else:
                     df = READERS[kind](self.spark, path)
-                self.add(name, df, spec.get("source", "source"))
+                if df is not None:
+                    self.add(name, df, spec.get("source", "source"))
             except Exception as e:  # noqa: BLE001 - one bad source must not stop the load
-                self.failures.append((name, f"{type(e).__name__}: {str(e).splitlines()[0][:300]}"))
+                self.failures.append((name, first_line(e)))
         return self
 
+    def _verified(self, name: str, path: str, kind: str) -> DataFrame | None:
+        """The table of the files that can be read to their end; the others are recorded."""
+        base = path.rstrip("/")
+
+        def read(files: list[str]) -> DataFrame:
+            if kind != "parquet":
+                return READERS[kind](self.spark, files)
+            whole_folder = not files[0].endswith(base)  # keeps the columns that folder names give
+            return (self.spark.read.option("basePath", base) if whole_folder else self.spark.read).parquet(*files)
+
+        files = files_of(self.spark, path)
+        bad = unreadable_files(read, files)
+        for file, error in bad:
+            self.failures.append((name, f"{os.path.basename(file)}: {error}"))
+        gone = {file for file, _ in bad}
+        good = [f for f in files if f not in gone]
+        return read(good) if good else None
+
     def errors(self) -> DataFrame:
         return self.spark.createDataFrame(self.failures, "name string, error string")
 

@@ -81,12 +81,35 @@ def write_stream(stream: DataFrame, path: str, checkpoint_path: str, once: bool
 
 # --- merges -----------------------------------------------------------------------------------------
 
+# A merged table is a folder with ``data/<version>.<revision>`` (Parquet, cut by bucket) and ``log/generation=<g>``. A log
+# entry (version, revision, bucket, buckets) makes a bucket's rows current; later ones replace earlier ones. Batches add
+# entries to the newest generation. A compaction writes all buckets anew and starts a generation with entries for all of
+# them, in one small file: whoever sees it needs nothing older.
+
 def _log(spark: SparkSession, path: str) -> DataFrame | None:
-    """Committed (version, bucket, buckets) of a merged table; None before the first commit."""
+    """Entries of the newest generation of a merged table's log; None before the first commit."""
     try:
-        return spark.read.parquet(f"{path}/log")
+        log = spark.read.parquet(f"{path}/log")
     except AnalysisException:  # no folder, or one that holds only what a lost write left
         return None
+    newest = log.agg(F.max("generation")).first()[0]
+    return None if newest is None else log.filter(F.col("generation") == newest)
+
+
+def _commit(spark: SparkSession, path: str, entries: list[tuple], generation: int) -> None:
+    """Makes entries current: one file, so all or none of them count."""
+    rows = spark.createDataFrame(entries, "version long, revision int, bucket int, buckets int")
+    rows.withColumn("generation", F.lit(generation)).coalesce(1).write.mode("append").partitionBy("generation").parquet(f"{path}/log")
+
+
+def _current(log: DataFrame) -> dict[int, tuple[int, int]]:
+    """(version, revision) of each bucket; as many numbers as there are buckets."""
+    latest = log.groupBy("bucket").agg(F.max(F.struct("version", "revision")).alias("at")).select("bucket", "at.version", "at.revision")
+    return {r["bucket"]: (r["version"], r["revision"]) for r in latest.collect()}
+
+
+def _bucket_of(keys: list[str], buckets: int):
+    return F.pmod(F.xxhash64(*[col(k) for k in keys]), F.lit(buckets)).cast("int")
 
 
 def read_merged(spark: SparkSession, path: str, buckets: list[int] | None = None) -> DataFrame:
@@ -94,42 +117,97 @@ def read_merged(spark: SparkSession, path: str, buckets: list[int] | None = None
     log = _log(spark, path)
     if log is None:
         raise ValueError(f"no committed version in {path}")
-    latest = log.groupBy("bucket").agg(F.max("version").alias("version"))
-    current: dict[int, list[int]] = {}
-    for r in latest.collect():  # one row per bucket
-        if buckets is None or r["bucket"] in buckets:
-            current.setdefault(r["version"], []).append(r["bucket"])
-    parts = [spark.read.parquet(f"{path}/data/version={v}").filter(F.col("_bucket").isin(bs)) for v, bs in sorted(current.items())]
+    current: dict[tuple[int, int], list[int]] = {}
+    every = _current(log)
+    for bucket, at in every.items():
+        if buckets is None or bucket in buckets:
+            current.setdefault(at, []).append(bucket)
+    part = lambda at: spark.read.parquet(f"{path}/data/{at[0]}.{at[1]}")
+    parts = [part(at).filter(F.col("_bucket").isin(bs)) for at, bs in sorted(current.items())]
     if not parts:
-        newest = log.agg(F.max("version")).first()[0]
-        parts = [spark.read.parquet(f"{path}/data/version={newest}").limit(0)]
+        parts = [part(max(every.values())).limit(0)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).drop("_bucket")
 
 
+def live_versions(spark: SparkSession, path: str) -> int:
+    """Number of scans that a read of the table is made of."""
+    log = _log(spark, path)
+    return 0 if log is None else len(set(_current(log).values()))
+
+
 def merge_into_buckets(staged: DataFrame, path: str, keys: list[str], merge: Callable[[DataFrame | None, DataFrame], DataFrame],
-                       batch_id: int, buckets: int = 64) -> None:
+                       batch_id: int, buckets: int = 64, compact_after: int | None = 16) -> None:
     """Merge a batch into a parquet table that is cut into buckets by a hash of the key; ``read_merged`` reads it.
 
     Only the buckets the batch touches are read. Their new state is a version of its own beside the old ones,
     and becomes current when the log names it, in one small file. A batch that is lost half-way leaves nothing
     that counts, and one that is replayed after its commit changes nothing. Batch ids must grow. The number of
-    buckets is that of the first batch, whatever a later call says.
+    buckets is that of the first batch, or of the last compaction. Once the current rows lie in more than
+    ``compact_after`` versions they are compacted.
     """
     spark = staged.sparkSession
     log = _log(spark, path)
+    generation = 0
     if log is not None:
-        if not log.filter(F.col("version") == batch_id).isEmpty():
+        state = log.agg(F.max("version").alias("version"), F.max("generation").alias("generation")).first()
+        if batch_id <= state["version"]:
             return
-        buckets = log.first()["buckets"]
-    bucket = F.pmod(F.xxhash64(*[col(k) for k in keys]), F.lit(buckets)).cast("int")
+        generation, buckets = state["generation"], log.orderBy(F.desc("version"), F.desc("revision")).first()["buckets"]
+    bucket = _bucket_of(keys, buckets)
     touched = [r[0] for r in staged.select(bucket.alias("b")).distinct().collect()]  # at most ``buckets`` numbers
     if not touched:
         return
     target = None if log is None else read_merged(spark, path, touched)
     merged = merge(target, staged).withColumn("_bucket", bucket)
-    merged.write.partitionBy("_bucket").mode("overwrite").parquet(f"{path}/data/version={batch_id}")
-    entry = spark.createDataFrame([(batch_id, b, buckets) for b in sorted(touched)], "version long, bucket int, buckets int")
-    entry.coalesce(1).write.mode("append").parquet(f"{path}/log")
+    merged.write.partitionBy("_bucket").mode("overwrite").parquet(f"{path}/data/{batch_id}.0")
+    _commit(spark, path, [(batch_id, 0, b, buckets) for b in sorted(touched)], generation)
+    if compact_after is not None and live_versions(spark, path) > compact_after:
+        compact(spark, path, keys)
+
+
+def compact(spark: SparkSession, path: str, keys: list[str], rows_per_bucket: int = 2_000_000) -> None:
+    """Rewrites the current rows as one version, with twice as many buckets as long as they hold more rows than wanted.
+
+    Doubling splits each bucket in two, so keys stay with their bucket or move to its new half. The new version counts
+    from the moment its log file is there; lost before, the table is as it was, and the next compaction writes over what
+    was left. Old versions stay readable until ``vacuum``.
+    """
+    log = _log(spark, path)
+    if log is None:
+        return
+    rows = read_merged(spark, path)
+    newest = log.orderBy(F.desc("version"), F.desc("revision")).first()
+    buckets, n = newest["buckets"], rows.count()
+    if not n:
+        return
+    while n > rows_per_bucket * buckets:
+        buckets *= 2
+    version, revision = newest["version"], newest["revision"] + 1
+    target = f"{path}/data/{version}.{revision}"
+    # one task a bucket would be idle or overloaded: tasks take what range partitioning gives them of several buckets
+    rows.withColumn("_bucket", _bucket_of(keys, buckets)).repartitionByRange("_bucket", *[col(k) for k in keys]).write.partitionBy("_bucket").mode("overwrite").parquet(target)
+    _commit(spark, path, [(version, revision, b, buckets) for b in range(buckets)], newest["generation"] + 1)
+
+
+def vacuum(spark: SparkSession, path: str) -> int:
+    """Frees the space of versions and log generations that no longer count; returns how many versions were emptied.
+
+    Run it when nobody reads an older state: the data of a version that is not current are replaced by an empty file.
+    """
+    log = _log(spark, path)
+    if log is None:
+        return 0
+    live = {f"{v}.{r}" for v, r in _current(log).values()}
+    newest = log.first()["generation"]
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/*").select(
+        F.regexp_extract("path", r"/data/([0-9]+[.][0-9]+)/_bucket=", 1).alias("data"), F.regexp_extract("path", r"/log/generation=([0-9]+)/", 1).alias("generation")).distinct().collect()
+    old = sorted({r["data"] for r in listed if r["data"]} - live)
+    for name in old:
+        spark.createDataFrame([], "emptied int").write.mode("overwrite").parquet(f"{path}/data/{name}")
+    for g in {int(r["generation"]) for r in listed if r["generation"]} - {newest}:
+        empty = spark.createDataFrame([], "version long, revision int, bucket int, buckets int")
+        empty.write.mode("overwrite").parquet(f"{path}/log/generation={g}")
+    return len(old)
 
 
 def upsert_stream(stream: DataFrame, path: str, keys: list[str], checkpoint_path: str, latest_by: str | None = None,

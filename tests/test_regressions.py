@@ -129,11 +129,11 @@ def test_merge_survives_a_half_written_first_batch(spark, tmp_path):
     path = str(tmp_path / "t")
     rows = spark.createDataFrame([(i, "a") for i in range(20)], "k int, v string")
     merge = lambda old, new: new if old is None else load.merge_scd1(old, new, ["k"])
-    for left in ("data/version=0/_temporary/0", "log/_temporary/0"):
+    for left in ("data/0.0/_temporary/0", "log/_temporary/0"):
         (tmp_path / "t" / left).mkdir(parents=True)
     streams.merge_into_buckets(rows, path, ["k"], merge, 0, 4)
     # a lost second batch leaves data that no log entry names
-    spark.createDataFrame([(1, "lost", 1)], "k int, v string, _bucket int").write.partitionBy("_bucket").parquet(f"{path}/data/version=1")
+    spark.createDataFrame([(1, "lost", 1)], "k int, v string, _bucket int").write.partitionBy("_bucket").parquet(f"{path}/data/1.0")
     assert {r.v for r in streams.read_merged(spark, path).collect()} == {"a"}
     streams.merge_into_buckets(spark.createDataFrame([(1, "b"), (99, "c")], "k int, v string"), path, ["k"], merge, 1, 64)
     got = {r.k: r.v for r in streams.read_merged(spark, path).collect()}
