@@ -49,6 +49,34 @@ def test_chat_segments(spark, monkeypatch):
     check_chat(spark, spark.read.parquet(f"{SF}/conversations.parquet"))
 
 
+ODD_TEXTS = ["", "plain words and more.", "日本語 é🙂 ñ" * 5, "\u200d🙂\u0301 x", "a\n\n  b\t c", "\x00\x0b ", "don't 123456 'll", "🙂" * 40, " " * 300 + "x"]
+
+
+@pytest.mark.parametrize("text", ODD_TEXTS)
+def test_chat_encoders_agree(text):
+    """Token ids and spans of the fast encoder are those of tokenizers."""
+    rendered, _ = chat_format.render([("user", text), ("assistant", text + "<|end|>"), ("", text)])
+    slow, fast = (chat_format.span_encoder(queries.tokenizer_path(name))(rendered) for name in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
+    for a, b in zip(slow, fast):
+        assert a.tolist() == b.tolist()
+
+
+@pytest.mark.parametrize("waiting", [0, 8])
+def test_chat_hot_conversation(spark, monkeypatch, waiting):
+    """A third of all turns in one conversation: several tasks format it, and it reads back whole."""
+    monkeypatch.setattr(chat_format, "MOST_WAITING", waiting)
+    monkeypatch.setattr(chat_format, "SEGMENT_CHARS", 400)
+    rows = [(7 if i % 3 == 0 else i // 12, i, ("user", "assistant")[i % 2], f"turn {i} says é \\ <s> " * (i % 4)) for i in range(900)]
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    formatted = chat_format.format_conversations(docs, queries.tokenizer_path("byte_bpe_50k.tiktoken"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # few rows would be joined to one partition
+    try:
+        assert formatted.where("conv_id = 7").select("part").distinct().count() > 1
+        check_chat(spark, docs)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.mark.parametrize("text", ["", "\\", "<|end|>", "<s>", "\\<s>", "<\\s>", "[INST][/INST]", "<<s>", "a\\b"])
 def test_escape_is_reversible(text):
     escaped = chat_format.escape(text)
