@@ -77,6 +77,11 @@ def finish_issues(df: DataFrame) -> DataFrame:
     )
 
 
+def no_issues(spark) -> DataFrame:
+    """An issues table without rows."""
+    return spark.createDataFrame([], "dataset string, column_name string, issue_type string, severity string, n_bad long, n_checked long, pct double")
+
+
 # --- row checks ----------------------------------------------------------------------------------
 
 @dataclass(frozen=True)

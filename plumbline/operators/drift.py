@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import ColumnInfo, as_text, col, infos, row_fingerprint
 from plumbline.operators.profile import column_profile
+from plumbline.sources.readers import guard_select
 from plumbline.sources.readers import sample_rows as sample_rows_of
 
 # Drift policy.
@@ -185,17 +186,24 @@ def frame_diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFram
 
 
 def sql_preview(tables: dict[str, DataFrame], statement: str, sample_rows: int | None = None, limit: int | None = None) -> DataFrame:
-    """Run one SELECT over the tables, which become temporary views of their names.
+    """Run one SELECT over the tables, known by their names while it is analysed; views of the session with these names come back.
 
     ``sample_rows`` takes about so many rows of each table, the same ones every time; ``limit`` cuts the result.
     """
-    text = statement.strip().rstrip(";")
-    if ";" in text or text.split(None, 1)[0].lower() not in ("select", "with"):
-        raise ValueError("a preview accepts one SELECT statement")
+    text = guard_select(statement)
     spark = next(iter(tables.values())).sparkSession
-    for name, df in tables.items():
-        (df if sample_rows is None else sample_rows_of(df, sample_rows)).createOrReplaceTempView(name)
-    out = spark.sql(text)
+    own_views = {v.name.lower() for v in spark.catalog.listTables() if v.isTemporary}
+    before = {name: spark.table(name) for name in tables if name.lower() in own_views}
+    try:
+        for name, df in tables.items():
+            (df if sample_rows is None else sample_rows_of(df, sample_rows)).createOrReplaceTempView(name)
+        out = spark.sql(text)
+    finally:
+        for name in tables:
+            if name in before:
+                before[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)
     return out if limit is None else out.limit(limit)
 
 

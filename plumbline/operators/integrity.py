@@ -119,7 +119,7 @@ def remove_neighbourhood_duplicates(df: DataFrame, key: str, columns: list[str],
 
 
 def apply_config_tables(df: DataFrame, column: str, invalid: DataFrame | None = None, default: DataFrame | None = None) -> DataFrame:
-    """Null the values listed in ``invalid(value)`` and fill nulls from ``default(value)`` in one pass."""
+    """Null the values listed in ``invalid(value)`` and fill nulls from ``default(value)`` in one pass; of several defaults the smallest counts."""
     out = df
     value = col(column)
     if invalid is not None:
@@ -128,7 +128,7 @@ def apply_config_tables(df: DataFrame, column: str, invalid: DataFrame | None =
         out = out.join(listed, F.lower(F.trim(value.cast("string"))) == F.col("_bad"), "left").drop("_bad")
         value = F.when(F.col("_hit").isNull(), value)
     if default is not None:
-        out = out.crossJoin(F.broadcast(default.agg(F.first("value").alias("_default"))))
+        out = out.crossJoin(F.broadcast(default.agg(F.min("value").alias("_default"))))
         value = F.coalesce(value, F.col("_default").cast(df.schema[column].dataType))
     return out.withColumn(column, value).drop("_hit", "_default")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -124,17 +126,15 @@ def functional_dependency(df: DataFrame, dataset: str, determinant: str, depende
     )
 
 
-def functional_dependencies(df: DataFrame, dataset: str, rules=fv.FUNCTIONAL_DEPENDENCIES) -> DataFrame | None:
-    """All rules whose columns exist."""
+def functional_dependencies(df: DataFrame, dataset: str, rules=fv.FUNCTIONAL_DEPENDENCIES) -> DataFrame:
+    """All rules whose columns exist; no rows if there is none."""
     by_lower = {c.lower(): c for c in df.columns}
     parts = [
         functional_dependency(df, dataset, by_lower[a], by_lower[b])
         for a, b in rules if a in by_lower and b in by_lower
     ]
-    out = None
-    for p in parts:
-        out = p if out is None else out.unionByName(p)
-    return out
+    none = df.sparkSession.createDataFrame([], "dataset string, column_name string, issue_type string, severity string, n_bad long, n_rows long, n_checked long")
+    return reduce(DataFrame.unionByName, parts) if parts else none
 
 
 def date_range_violations(df: DataFrame, dataset: str, pairs=fv.DATE_RANGE_PAIRS) -> DataFrame:

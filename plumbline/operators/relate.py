@@ -57,7 +57,11 @@ def key_census(tables: dict[str, DataFrame], key_like_only: bool = True, strip_p
             .groupBy("column_name", "key_name", "value").agg(F.count(F.lit(1)).alias("n"))
             .select(F.lit(table).alias("dataset"), "column_name", "key_name", "value", "n")
         )
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts) if parts else nothing_found(tables, "dataset string, column_name string, key_name string, value string, n long")
+
+
+def nothing_found(tables: dict[str, DataFrame], schema: str) -> DataFrame:
+    return next(iter(tables.values())).sparkSession.createDataFrame([], schema)
 
 
 def relationships(tables: dict[str, DataFrame], key_like_only: bool = True, strip_prefix: bool = True) -> DataFrame:
@@ -217,7 +221,8 @@ def id_type_drift(tables: dict[str, DataFrame], strip_prefix: bool = True) -> Da
             })
         if rows:
             parts.append(aggregate_long(df, rows))
-    found = reduce(DataFrame.unionByName, parts).filter("n > 0")
+    none = nothing_found(tables, "dataset string, column_name string, key_name string, n long, n_str long, n_num long")
+    found = reduce(DataFrame.unionByName, parts, none).filter("n > 0")
     bucket = (
         F.when((F.col("n_str") >= 0.1 * F.col("n")) & (F.col("n_num") >= 0.1 * F.col("n")), "mixed")
         .when(F.col("n_num") >= F.col("n_str"), "mostly_numeric").otherwise("mostly_string")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import any_word, as_double, as_timestamp, col, infos, strip
-from plumbline.operators.checks import finish_issues
+from plumbline.operators.checks import finish_issues, no_issues
 from plumbline.operators.profile import aggregate_long
 
 
@@ -132,7 +132,7 @@ def apply_rules(df: DataFrame, dataset: str, rules: list[dict]) -> DataFrame:
          "severity": p["severity"], "n_bad": F.count_if(p["bad"]), "n_checked": F.count_if(p["checked"])}
         for p in rule_predicates(df, dataset, rules)
     ]
-    return finish_issues(aggregate_long(df, rows).filter("n_bad > 0")) if rows else None
+    return finish_issues(aggregate_long(df, rows).filter("n_bad > 0")) if rows else no_issues(df.sparkSession)
 
 
 def lookup_issues(df: DataFrame, dataset: str, column: str, allowed: DataFrame, severity: str = "medium") -> DataFrame:

@@ -29,7 +29,13 @@ def _(t):
     return similar.near_duplicate_rows(t["benchmark"], "item_id", ["text"], 0.3)
 
 
-@query("near_duplicate_documents", "C18")
+@query("near_duplicate_documents", "C18", r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS l FROM documents WHERE regexp_matches(text, '[\p{L}\p{N}]')),
+ s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(l) < 3 THEN [array_to_string(l, ' ')] ELSE list_transform(range(1, len(l) - 1), lambda i: array_to_string(l[i:i + 2], ' ')) END) AS g FROM w),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+ f AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE c / CAST(a.n + b.n - c AS DOUBLE) >= 0.8::DOUBLE)
+SELECT DISTINCT x AS doc_id FROM (SELECT x FROM f UNION ALL SELECT y FROM f) u""")
 def _(t):
     return similar.near_duplicate_documents(t["documents"], "doc_id", "text", 0.8)
 

@@ -13,15 +13,20 @@ from pyspark.sql import types as T
 from plumbline.functions.columns import as_text, infos
 
 CORRUPT_LINE = "_corrupt_line"
+LITERAL = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/""", re.S)
 HASH_BITS = 53  # of a row's hash that are compared with a sampling rate
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", schema: str | None = None, quoted_newlines: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, sep: str = ",", schema: str | None = None, quoted_newlines: bool | None = None) -> DataFrame:
     """CSV or TSV with a header; quotes are doubled inside quotes.
 
-    Give a schema for large inputs: inference reads the file twice. Files without line ends inside
-    quotes can be split over tasks with ``quoted_newlines=False``.
+    Files are split over tasks by line. Where a value holds a line end inside quotes, a file is one task instead; unless
+    ``quoted_newlines`` says which it is, a scan of the lines looks for one with an odd number of quotes. Give a
+    schema for large inputs: inference reads them once more.
     """
+    if quoted_newlines is None:
+        quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+        quoted_newlines = not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
     reader = spark.read.option("header", True).option("sep", sep).option("multiLine", quoted_newlines).option("escape", '"')
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
@@ -161,11 +166,12 @@ def reservoir(df: DataFrame, k: int, keys: list[str] | None = None, seed: int =
 # --- databases ------------------------------------------------------------------------------------
 
 def guard_select(statement: str) -> str:
-    """One SELECT or WITH statement, nothing else."""
+    """One SELECT or WITH statement, nothing else; what stands in literals, quoted names and comments does not count."""
     text = statement.strip().rstrip(";").strip()
-    if ";" in text or not re.match(r"(?is)^(select|with)\b", text):
+    bare = LITERAL.sub(" ", text).strip()
+    if ";" in bare or not re.match(r"(?is)^(select|with)\b", bare):
         raise ValueError("only a single SELECT statement is allowed")
-    if re.search(r"(?is)\b(insert|update|delete|merge|drop|alter|create|truncate|exec|grant)\b", text):
+    if re.search(r"(?is)\b(insert|update|delete|merge|drop|alter|create|truncate|exec|grant)\b", bare):
         raise ValueError("the statement changes data")
     return text
 
