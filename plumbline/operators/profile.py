@@ -13,6 +13,7 @@ from plumbline.functions.columns import (
 )
 from plumbline.operators.census import census_summary, value_census
 from plumbline.operators.ordering import exact_percentiles, ordered_ranks
+from plumbline.session import checkpoint
 
 # wider aggregates fall out of whole-stage code generation and cost more than another column-pruned scan
 MAX_AGGREGATES = 48
@@ -215,7 +216,9 @@ def scalar_type_flags(i: ColumnInfo) -> dict[str, Column]:
         integer = t.rlike(r"^[+-]?[0-9]+$")
         number = as_double(t).isNotNull() & t.rlike(r"^[+-]?[0-9.]+([eE][+-]?[0-9]+)?$") & ~integer
         boolean = F.lower(t).isin("true", "false")
-        is_list, is_dict = t.rlike(r"^\[.*\]$"), t.rlike(r"^\{.*\}$")
+        # brackets alone do not make a value nested: it must parse
+        parses = F.try_parse_json(t).isNotNull()
+        is_list, is_dict = t.rlike(r"(?s)^\[.*\]$") & parses, t.rlike(r"(?s)^\{.*\}$") & parses
         flags.update(integer=integer, float=number, boolean=boolean, list=is_list, dict=is_dict,
                      string=~(integer | number | boolean | is_list | is_dict))
     elif i.kind == "nested":
@@ -227,6 +230,29 @@ def scalar_type_flags(i: ColumnInfo) -> dict[str, Column]:
     return flags
 
 
+def json_path_types(df: DataFrame, column: str) -> DataFrame:
+    """path, type, n, share of every place inside the JSON text of a column; ``$`` is the value, ``[]`` any element of a list.
+
+    Text that does not parse counts as ``invalid`` at ``$``. Values are opened level by level, and each level is counted
+    before the next, so what travels is one row per path and type.
+    """
+    spark = df.sparkSession
+    level = checkpoint(df.filter(col(column).isNotNull()).select(F.lit("$").alias("path"), F.try_parse_json(col(column).cast("string")).alias("v")))
+    counts = []
+    while not level.isEmpty():
+        kind = F.coalesce(F.lower(F.regexp_extract(F.schema_of_variant("v"), r"^[A-Z]+", 0)), F.lit("invalid"))
+        kind = F.when(kind == "bigint", "integer").when(kind.isin("double", "decimal", "float"), "number").when(kind == "void", "null").otherwise(kind)
+        counts.append(checkpoint(level.groupBy("path", kind.alias("type")).agg(F.count(F.lit(1)).alias("n"))))
+        inner = spark.sql("SELECT path, e.key AS key, e.value AS v FROM {level}, LATERAL variant_explode(v) AS e", level=level)
+        # key is null for elements of a list
+        level = checkpoint(inner.select(F.concat("path", F.coalesce(F.concat(F.lit("."), F.col("key")), F.lit("[]"))).alias("path"), "v"))
+    if not counts:
+        return spark.createDataFrame([], "path string, type string, n long, share double")
+    found = reduce(DataFrame.unionByName, counts)
+    total = F.sum("n").over(Window.partitionBy("path"))
+    return found.withColumn("share", F.round(F.col("n") / total, 6))
+
+
 def value_shares(df: DataFrame, dataset: str, columns: list[str] | None = None) -> DataFrame:
     """Share of values that look like an e-mail, UUID, date … for every column, in one scan."""
     rows = []

@@ -108,3 +108,35 @@ def _(t):
     streams.compact(t.spark, path, ["user_id"])
     n = streams.live_versions(t.spark, path)
     return streams.read_merged(t.spark, path).select("user_id", "event_type", F.lit(n).cast("long").alias("n_versions"))
+
+
+@query("stream_window_drift", "K3", """
+WITH m AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS d, CAST(count(*) AS DOUBLE) AS n_rows, round(count(*) FILTER (WHERE value < 5) / CAST(count(*) AS DOUBLE), 6) AS low,
+   round(count(*) FILTER (WHERE event_type = 'error') / CAST(count(*) AS DOUBLE), 6) AS error FROM events GROUP BY 1),
+ c AS (SELECT * FROM m WHERE strftime(d, '%Y-%m-%d') < (SELECT strftime(max(ts) - INTERVAL 1 DAY, '%Y-%m-%d') FROM events)),
+ p AS (SELECT *, lag(n_rows) OVER w AS pn, lag(low) OVER w AS pl, lag(error) OVER w AS pe FROM c WINDOW w AS (ORDER BY d))
+SELECT strftime(d, '%Y-%m-%d') AS day, 'row_count_drift' AS signal, 'n_rows' AS metric, pn AS before, n_rows AS after FROM p WHERE abs(n_rows - pn) > 0.03 * pn
+UNION ALL SELECT strftime(d, '%Y-%m-%d'), 'rate_drift', 'low', pl, low FROM p WHERE abs(low - pl) > 0.01
+UNION ALL SELECT strftime(d, '%Y-%m-%d'), 'rate_drift', 'error', pe, error FROM p WHERE abs(error - pe) > 0.01""")
+def _(t):
+    from plumbline.queries.sourcing import stream_of
+    from plumbline.streaming import streams
+
+    base = scratch_dir(t.spark)
+    bad = {"low": F.col("value") < 5, "error": F.col("event_type") == "error"}
+    streams.stream_window_drift(stream_of(t, "events"), "ts", bad, base + "/drift", base + "/ck", rate_change=0.01, row_change=0.03).awaitTermination()
+    return streams.read_window_drift(t.spark, base + "/drift").select(
+        F.date_format("window_start", "yyyy-MM-dd").alias("day"), "signal", "metric", "before", "after")
+
+
+@query("profile_json_paths", "B8 C73", """
+WITH e AS (SELECT CASE WHEN event_id % 7 = 0 THEN 'bad' WHEN event_id % 5 = 0 THEN 'deep' ELSE 'flat' END AS k, count(*) AS n FROM events WHERE props IS NOT NULL GROUP BY 1),
+ t(k, path, type) AS (VALUES ('bad', '$', 'invalid'), ('deep', '$', 'object'), ('flat', '$', 'object'), ('flat', '$.k', 'integer'), ('deep', '$.k', 'string'), ('deep', '$.l', 'array'),
+   ('deep', '$.l[]', 'integer'), ('deep', '$.l[]', 'number'), ('deep', '$.l[]', 'object'), ('deep', '$.l[].m', 'null')),
+ c AS (SELECT path, type, CAST(sum(n) AS BIGINT) AS n FROM e JOIN t USING (k) GROUP BY path, type)
+SELECT path, type, n, round(n / CAST(sum(n) OVER (PARTITION BY path) AS DOUBLE), 6) AS share FROM c""")
+def _(t):
+    from plumbline.operators import profile
+
+    text = F.when(F.col("event_id") % 7 == 0, "{oops}").when(F.col("event_id") % 5 == 0, '{"k": "text", "l": [1, 2.5, {"m": null}]}').otherwise(F.col("props"))
+    return profile.json_path_types(t["events"].filter("props IS NOT NULL").select(text.alias("j")), "j")

@@ -122,10 +122,10 @@ def _(t):
 @query("profile_scalar_type_mix", "B8", union_sql([f"""
 SELECT 'contacts' AS dataset, '{c}' AS column_name, count({c}) AS n,
   round(count(*) FILTER (WHERE NOT (regexp_matches(trim({c}), '^[+-]?[0-9]+$') OR lower(trim({c})) IN ('true','false')
-     OR regexp_matches(trim({c}), '^\\{{.*\\}}$'))) / CAST(count({c}) AS DOUBLE), 6) AS pct_string,
+     OR (regexp_matches(trim({c}), '^\\{{.*\\}}$') AND json_valid(trim({c}))))) / CAST(count({c}) AS DOUBLE), 6) AS pct_string,
   round(count(*) FILTER (WHERE regexp_matches(trim({c}), '^[+-]?[0-9]+$')) / CAST(count({c}) AS DOUBLE), 6) AS pct_integer,
   round(count(*) FILTER (WHERE lower(trim({c})) IN ('true','false')) / CAST(count({c}) AS DOUBLE), 6) AS pct_boolean,
-  round(count(*) FILTER (WHERE regexp_matches(trim({c}), '^\\{{.*\\}}$')) / CAST(count({c}) AS DOUBLE), 6) AS pct_dict
+  round(count(*) FILTER (WHERE regexp_matches(trim({c}), '^\\{{.*\\}}$') AND json_valid(trim({c}))) / CAST(count({c}) AS DOUBLE), 6) AS pct_dict
 FROM contacts""" for c in ("score_text", "active_flag", "attributes", "full_name")]))
 def _(t):
     return profile.type_mix(t["contacts"], "contacts", ["score_text", "active_flag", "attributes", "full_name"]).select(

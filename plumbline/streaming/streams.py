@@ -6,13 +6,14 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.functions.columns import col
 from plumbline.operators.checks import Settings, run_row_checks
 from plumbline.operators.load import LoadRules, clean_values, merge_scd1, merge_scd2, one_per_key, tag_rejects, without_late
+from plumbline.session import checkpoint
 
 
 def _start(writer, checkpoint_path: str, once: bool) -> StreamingQuery:
@@ -69,6 +70,57 @@ def stream_window_metrics(stream: DataFrame, event_time: str, bad: dict[str, Col
     return _start(metrics.writeStream.format("parquet").option("path", path).outputMode("append"), checkpoint_path, once)
 
 
+def window_signals(windows: DataFrame, rates: list[str], rate_change: float = 0.08, row_change: float = 0.15) -> DataFrame:
+    """window_start, signal, metric, before, after of every window that differs too much from the one before it.
+
+    ``windows`` has one row per closed window (see ``window_metrics``); windows without rows do not exist and are skipped.
+    """
+    before = Window.partitionBy(F.lit(0)).orderBy("window_start")  # one row per window: as many as there are time units
+    compared = windows.select("window_start", "n_rows", F.lag("n_rows").over(before).cast("double").alias("p_rows"), *[
+        x for r in rates for x in (F.col(f"{r}_rate"), F.lag(f"{r}_rate").over(before).alias(f"p_{r}"))])
+    rows = F.col("n_rows").cast("double")
+    found = [F.when(F.abs(rows - F.col("p_rows")) > row_change * F.col("p_rows"), F.struct(
+        F.lit("row_count_drift").alias("signal"), F.lit("n_rows").alias("metric"), F.col("p_rows").alias("before"), rows.alias("after")))]
+    found += [F.when(F.abs(F.col(f"{r}_rate") - F.col(f"p_{r}")) > rate_change, F.struct(
+        F.lit("rate_drift").alias("signal"), F.lit(r).alias("metric"), F.col(f"p_{r}").alias("before"), F.col(f"{r}_rate").alias("after"))) for r in rates]
+    return compared.select("window_start", F.inline(F.array_compact(F.array(*found))))
+
+
+def stream_window_drift(stream: DataFrame, event_time: str, bad: dict[str, Column], path: str, checkpoint_path: str, width: str = "1 day",
+                        late: str = "1 day", once: bool = True, **limits) -> StreamingQuery:
+    """Signals between each closed window and the one before it, once each; read them with ``read_window_drift``.
+
+    A window closes when the watermark passes it, so rows that are late by less than ``late`` still count in it. The last
+    closed window is the state: a batch starts from the one that the batch before it left, and both its signals and its
+    state lie in folders of its own, so a batch that is run again writes the same.
+    """
+    metrics = window_metrics(stream, event_time, bad, width, late)
+
+    def compare(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        last = None
+        for earlier in range(batch_id - 1, -1, -1):  # the batch before, or one further back if that was lost with its folder
+            try:
+                last = spark.read.parquet(f"{path}/state/{earlier}")
+                break
+            except AnalysisException:
+                continue
+        closed = checkpoint(batch if last is None else batch.unionByName(last))
+        signals = window_signals(closed, list(bad), **limits)
+        if last is not None:
+            seen = last.agg(F.max("window_start").alias("_seen"))  # null while no window has closed
+            signals = signals.crossJoin(F.broadcast(seen)).filter("_seen IS NULL OR window_start > _seen").drop("_seen")
+        signals.write.mode("overwrite").parquet(f"{path}/signals/{batch_id}")
+        closed.orderBy(F.desc("window_start")).limit(1).write.mode("overwrite").parquet(f"{path}/state/{batch_id}")
+
+    return _start(metrics.writeStream.foreachBatch(compare).outputMode("append"), checkpoint_path, once)
+
+
+def read_window_drift(spark: SparkSession, path: str) -> DataFrame:
+    """All signals so far."""
+    return spark.read.parquet(f"{path}/signals/*")
+
+
 def deduplicate_stream(stream: DataFrame, keys: list[str], event_time: str, late: str) -> DataFrame:
     """First row per key; state is dropped when the watermark passes."""
     timed = stream.withColumn(event_time, col(event_time).cast("timestamp")).withWatermark(event_time, late)
