@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.columns import as_text, infos
+from plumbline.sources.html_tables import html_table_rows
 
 CORRUPT_LINE = "_corrupt_line"
 LITERAL = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/""", re.S)
@@ -112,33 +113,6 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _first_table(html: Column) -> Column:
-    """Inside of the first table, with the tags of tables nested in it blanked out."""
-
-    def step(state: Column, piece: Column) -> Column:
-        opens, closes = piece.rlike("(?i)^<table"), piece.rlike("(?i)^</table")
-        depth = state["depth"] + F.when(opens, 1).when(closes & (state["depth"] > 0), -1).otherwise(0)
-        body = F.regexp_replace(piece, "(?is)^</?table[^>]*>", "")
-        kept = F.when(state["done"] | (depth == 0), "").when(depth == 1, body).otherwise(F.regexp_replace(body, "<[^>]*>", " "))
-        return F.struct(depth.cast("int").alias("depth"), (state["done"] | (closes & (depth == 0))).alias("done"), F.concat(state["out"], kept).alias("out"))
-
-    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("done"), F.lit("").alias("out"))
-    return F.aggregate(F.split(html, "(?i)(?=</?table)"), start, step, lambda state: state["out"])
-
-
-def html_table_rows(df: DataFrame, key: str, html: str) -> DataFrame:
-    """Cells of the first table of each page: ``(key, row_no, col_no, value)``; a table inside a cell is text of that cell."""
-    table = _first_table(F.col(html))
-    row_list = F.regexp_extract_all(F.col("_table"), F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1)
-    cell_list = F.regexp_extract_all(F.col("_row"), F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), 1)
-    rows = df.select(key, table.alias("_table")).select(key, F.posexplode(row_list).alias("row_no", "_row"))
-    cells = rows.select(key, "row_no", F.posexplode(cell_list).alias("col_no", "_cell"))
-    text = F.regexp_replace("_cell", r"<[^>]*>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return cells.select(key, "row_no", "col_no", F.trim(text).alias("value"))
-
-
 # --- samples --------------------------------------------------------------------------------------
 
 def sample_share(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
