@@ -187,3 +187,23 @@ def test_keys_are_found_by_content(spark):
         ("people", "first.name", "visits", "note"): (3, 3, 2, False), ("visits", "note", "people", "first.name"): (3, 3, 2, False)}
     assert relate.value_overlaps({"empty": empty, "more": empty}).count() == 0
     assert relate.value_overlaps({"one": people}).count() == 0
+
+
+def test_texts_that_share_most_of_their_words(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = sorted({f"{rng.choice([40712, 4071, 88213])}{rng.randrange(100)} active city{rng.randrange(30)} com example user{rng.randrange(10**rng.choice([3, 5]))}" for _ in range(150)})
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, s string")
+    monkeypatch.setattr(edits, "HEAVY", 3)
+    want = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts))
+            if levenshtein(texts[a], texts[b]) <= 0.1 * max(len(texts[a]), len(texts[b])) + 1e-9}
+    assert len(want) > 20
+    assert {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in edits.similar_pairs(df, 0.9).collect()} == want
+    asked = df.filter("id % 7 = 0").select("id")
+    got = {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in edits.similar_pairs(df, 0.9, asked).collect()}
+    assert got == {p for p in want if p[0] % 7 == 0 or p[1] % 7 == 0}
+    assert {r["id"] for r in edits.near_duplicate_keys(df, "id", ["s"], 0.9).collect()} == {x for i, j, _ in pairs_of([(i, " ".join(sorted(t.split()))) for i, t in enumerate(texts)], 0.9) for x in (i, j)}
+    # a word that all texts hold at one place makes no pairs of all texts
+    many = spark.range(6000).select("id", F.concat(F.sha1(F.col("id").cast("string")).substr(1, 10), F.lit(" active somewhere "), F.sha1(F.col("id").cast("string")).substr(11, 10)).alias("s"))
+    monkeypatch.setattr(edits, "HEAVY", 100)
+    rows = many.withColumn("n", F.length("s"))
+    assert edits._short_candidates(rows, rows, 0.92, True).count() < 6000
