@@ -9,14 +9,25 @@ from pyspark.sql import types as T
 from plumbline.functions.columns import as_text, col, infos
 
 
+# cells whose distinct values one task counts before the shuffle: the memory of a task follows it, not the size of the table
+CELLS_PER_TASK = 1_000_000
+
+
+def spread(df: DataFrame, columns: int) -> DataFrame:
+    """The rows dealt evenly to tasks of ``CELLS_PER_TASK`` cells; a table of one such task stays as it is."""
+    tasks = -(-df.count() * columns // CELLS_PER_TASK)
+    return df.repartition(tasks) if tasks > 1 else df
+
+
 def value_census(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``(column_name, value, n)`` for every distinct value of every column.
 
-    Rows are combined before the shuffle, so a hot value travels once per map task. Numbers are
+    Rows are dealt evenly and combined before the shuffle, so a hot value travels once per map task. Numbers are
     grouped as numbers and become text afterwards, decimals keep all their digits, and text is grouped
     whole at every length. Missing values have a null ``value``.
     """
     chosen = infos(df, columns)
+    df = spread(df.select(*[col(i.name) for i in chosen]), len(chosen))
 
     def entry(k, info):
         whole = col(info.name).cast("long") if info.kind == "integer" else F.lit(None).cast("long")

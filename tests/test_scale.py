@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import integrity, load, ordering, similar, transforms
+from plumbline.operators import census, integrity, load, ordering, similar, transforms
 from plumbline.sources import readers, writers
 from plumbline.streaming import streams
 
@@ -188,3 +188,13 @@ def test_no_python_runs_in_the_tasks(spark):
     for name in ("assess_lineitem_issues", "profile_lineitem_columns", "load_reject_quarantine", "score_quality"):
         text = plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
         assert "Python" not in text and "CartesianProduct" not in text
+
+
+def test_census_deals_a_large_table_to_tasks_by_its_cells(spark, monkeypatch):
+    df = spark.range(1000).coalesce(1).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("t"))
+    want = {(r.column_name, r.value, r.n) for r in census.value_census(df).collect()}
+    assert len(want) == 1000 + 1 + 666
+    monkeypatch.setattr(census, "CELLS_PER_TASK", 100)
+    dealt = census.value_census(df)
+    assert "RoundRobinPartitioning(20)" in plan(dealt)
+    assert {(r.column_name, r.value, r.n) for r in dealt.collect()} == want
