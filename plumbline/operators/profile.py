@@ -214,10 +214,11 @@ def scalar_type_flags(i: ColumnInfo) -> dict[str, Column]:
     if i.kind == "text":
         t = F.trim(col(i.name))
         integer = t.rlike(r"^[+-]?[0-9]+$")
-        number = as_double(t).isNotNull() & t.rlike(r"^[+-]?[0-9.]+([eE][+-]?[0-9]+)?$") & ~integer
+        # a cast or parse that fails costs far more than a pattern, and "and" may be reordered: a case guards both
+        number = F.when(t.rlike(r"^[+-]?[0-9.]+([eE][+-]?[0-9]+)?$"), as_double(t)).isNotNull() & ~integer
         boolean = F.lower(t).isin("true", "false")
         # brackets alone do not make a value nested: it must parse
-        parses = F.try_parse_json(t).isNotNull()
+        parses = F.when(t.rlike(r"(?s)^(\[.*\]|\{.*\})$"), F.try_parse_json(t)).isNotNull()
         is_list, is_dict = t.rlike(r"(?s)^\[.*\]$") & parses, t.rlike(r"(?s)^\{.*\}$") & parses
         flags.update(integer=integer, float=number, boolean=boolean, list=is_list, dict=is_dict,
                      string=~(integer | number | boolean | is_list | is_dict))

@@ -5,6 +5,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions.columns import infos
 from plumbline.operators import checks, integrity, load, ordering, profile, rules, score
 from plumbline.operators.census import census_summary, value_census
 from plumbline.sources import readers
@@ -145,3 +146,18 @@ def test_an_empty_target_fails_the_load(spark):
     load.require_loaded(rows, rows)
     with pytest.raises(ValueError, match="empty"):
         load.require_loaded(rows.limit(0), rows)
+
+
+def test_scalar_types_parse_only_what_looks_like_json_or_a_number(spark):
+    values = ["12", " -3 ", "1.5e3", "1.2.3", "True", "[1, 2]", "[1, 2", "{\"a\": 1}", "[1}", "word", "", None]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    flags = profile.scalar_type_flags(infos(df)[0])
+    names = ("integer", "float", "boolean", "list", "dict", "string")
+    found = df.select("v", F.concat_ws(",", *[F.when(flags[n], n) for n in names]).alias("kind"))
+    want = dict(zip(values, ["integer", "integer", "float", "string", "boolean", "list", "string", "dict", "string", "string", "string", ""]))
+    assert {r.v: r.kind for r in found.collect()} == want
+    counted = df.agg(*[F.count_if(flags[n]).alias(n) for n in names])
+    text = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "parseJson" in text
+    for part in text.split("parseJson")[:-1]:
+        assert part.endswith("THEN isnotnull(static_invoke(VariantExpressionEvalUtils.")
