@@ -45,6 +45,25 @@ def jaccard(a: Column, b: Column) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
+BITS = 1 << 26
+
+
+def bit_table(members: Column, df: DataFrame) -> DataFrame:
+    """Bits of fixed size in all, 8 MB at most, with one set for the hash of each member: what is not set is no member."""
+    place = F.pmod(F.xxhash64(members), F.lit(BITS)) + 1
+    return df.select(place.alias("_place")).groupBy(F.bitmap_bucket_number("_place").alias("_part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits"))
+
+
+def by_bits(df: DataFrame, member: Column, bits: DataFrame, how: str) -> DataFrame:
+    """Rows whose bit is set (``left_semi``: all members, and a few more) or is not (``left_anti``), without a shuffle of the rows."""
+    place = F.pmod(F.xxhash64(member), F.lit(BITS)) + 1
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    here = (F.bitmap_bucket_number(place) == F.col("_part")) & (F.getbit(byte, (at % 8).cast("int")) == 1)
+    return df.join(F.broadcast(bits), here, how)
+
+
 def similar_set_flags(sets: DataFrame, key: str, tokens: str, threshold: float) -> DataFrame:
     """Keys of rows whose token set has another row's set within the Jaccard threshold; exact.
 
@@ -58,11 +77,16 @@ def similar_set_flags(sets: DataFrame, key: str, tokens: str, threshold: float)
     """
     # checkpointed before anything filters on it: a filter pushed into the projection would evaluate
     # the set expression once more inside its own lambda
-    source = checkpoint(sets.select(F.col(key).alias("k"), F.sort_array(tokens).alias("toks"))).select(
-        "k", "toks", F.md5(F.array_join("toks", ",")).alias("digest"))
-    groups = checkpoint(source.groupBy("digest").agg(
-        F.min("k").alias("id"), F.count(F.lit(1)).alias("copies"), F.any_value("toks").alias("toks")
-    ).withColumn("size", F.size("toks")))
+    ordered = sets.select(F.col(key).alias("k"), F.sort_array(tokens).alias("toks"))
+    source = checkpoint(ordered.select("k", "toks", F.md5(F.array_join("toks", ",")).alias("digest")))
+    # only sets that may have copies travel to be merged
+    counts = source.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    may_repeat = checkpoint(bit_table(F.col("digest"), counts))
+    merged = checkpoint(by_bits(source, F.col("digest"), may_repeat, "left_semi").groupBy("digest").agg(
+        F.min("k").alias("id"), F.count(F.lit(1)).alias("copies"), F.any_value("toks").alias("toks")))
+    alone = by_bits(source, F.col("digest"), may_repeat, "left_anti").select(
+        "digest", F.col("k").alias("id"), F.lit(1).cast("long").alias("copies"), "toks")
+    groups = merged.unionByName(alone).withColumn("size", F.size("toks"))
 
     exploded = groups.select("id", "size", F.explode("toks").alias("tok"))
     shared = exploded.groupBy("tok").agg(F.count(F.lit(1)).alias("freq")).filter("freq > 1")
@@ -78,10 +102,13 @@ def similar_set_flags(sets: DataFrame, key: str, tokens: str, threshold: float)
         best = 1 + F.least(n - F.col("pos"), m - F.col(f"{other}.pos"))
         return (m >= threshold * n) & (n >= threshold * m) & (best >= threshold / (1 + threshold) * (n + m) - 1e-9)
 
-    left = groups.select("id", F.col("toks").alias("a"))
-    right = groups.select(F.col("id").alias("pid"), F.col("toks").alias("b"))
-
     def verified(pairs: DataFrame) -> DataFrame:
+        pairs = checkpoint(pairs)
+        # the sets of rows in no pair stay where they are
+        paired = checkpoint(bit_table(F.col("id"), pairs.select(F.explode(F.array("id", "pid")).alias("id"))))
+        sets = by_bits(groups.select("id", "toks"), F.col("id"), paired, "left_semi")
+        left = sets.select("id", F.col("toks").alias("a"))
+        right = sets.select(F.col("id").alias("pid"), F.col("toks").alias("b"))
         return pairs.join(left, "id").join(right, "pid").filter(jaccard(F.col("a"), F.col("b")) >= threshold)
 
     entry = F.struct("id", "size", "pos")

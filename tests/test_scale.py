@@ -198,3 +198,20 @@ def test_census_deals_a_large_table_to_tasks_by_its_cells(spark, monkeypatch):
     dealt = census.value_census(df)
     assert "RoundRobinPartitioning(20)" in plan(dealt)
     assert {(r.column_name, r.value, r.n) for r in dealt.collect()} == want
+
+
+@pytest.mark.parametrize("bits", [1 << 26, 40000, 5])
+def test_sets_travel_only_if_their_bit_is_set(spark, monkeypatch, bits):
+    monkeypatch.setattr(similar, "BITS", bits)
+    numbers = spark.range(2000)
+    table = similar.bit_table(F.col("id"), numbers.filter("id % 10 = 0"))
+    kept = {r.id for r in similar.by_bits(numbers, F.col("id"), table, "left_semi").collect()}
+    left = {r.id for r in similar.by_bits(numbers, F.col("id"), table, "left_anti").collect()}
+    assert kept | left == set(range(2000)) and not kept & left and kept >= set(range(0, 2000, 10))
+    assert bits < 1 << 26 or len(kept) < 210
+    rng = random.Random(3)
+    sets = {i: set(rng.sample(range(400), 20)) for i in range(120)}
+    sets |= {200 + i: set(sets[i]) for i in range(0, 30, 3)}
+    sets |= {300 + i: (sets[i] - {min(sets[i])}) | {1000 + i} for i in range(40, 60)}
+    df = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "id long, g array<long>")
+    assert {r.id for r in similar.similar_set_flags(df, "id", "g", 0.8).collect()} == brute_force(sets, 0.8)
