@@ -1,8 +1,13 @@
 """De-duplication and joins against brute force, with edge cases."""
 
+import contextlib
+import gc
 import hashlib
 import itertools
+import pathlib
 import re
+import threading
+import uuid
 
 import numpy as np
 import pytest
@@ -208,6 +213,69 @@ def test_embedding_join(spark, monkeypatch, rows, tile):
     assert got == embedding_expected(rows)
 
 
+TWINS = [(1, [1.0]), (2, [1.0, None]), (3, [0.0, -1.0]), (4, [-0.0, -2.0]), (5, [-0.0, -1.0]), (None, [1.0]), (None, [1.0, float("nan")]), (6, [-1.0]), (7, [1e-30, 0.0])]
+
+
+@pytest.mark.parametrize("element", ["float", "double"])
+def test_embeddings_that_hash_alike(spark, element):
+    """Spark's hash passes over nulls, and takes the zeros for one."""
+    frame = spark.createDataFrame(TWINS, f"vec_id long, embedding array<{element}>")
+    got = sorted((tuple(r) for r in embedding_dedup.near_duplicates(frame).collect()), key=str)
+    assert got == embedding_expected(TWINS)
+
+
+def test_tiles_against_brute_force():
+    rng = np.random.default_rng(5)
+    unit = embedding_dedup.unit_vectors(np.concatenate([rng.standard_normal((700, 64)), vectors(3, 900), np.ones((40, 64)) + rng.uniform(0, 0.2, (40, 64))]))
+    unit = unit[rng.permutation(len(unit))]
+    size, axes = rng.integers(1, 4, len(unit)), np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    linked = (unit @ unit.T >= 0.9) & ~np.eye(len(unit), dtype=bool)
+    for near, begin in itertools.product((8, 24, 64), (0, 600)):  # one tile with itself, or two tiles
+        cuts = [slice(0, begin), slice(begin, None)][begin == 0:]
+        tiles = [embedding_dedup.Tile(n, unit[s], (unit[s] @ axes[:, :near]).astype(np.float32), size[s]) for n, s in enumerate(cuts)]
+        links, root = embedding_dedup.tile_links(tiles[0], tiles[-1])
+        expected = linked.copy()
+        if begin:
+            expected[:begin, :begin] = expected[begin:, begin:] = False
+        assert links.tolist() == (expected @ size).tolist()
+        parts = components_of(len(unit), list(zip(*np.nonzero(expected))))
+        assert len(set(zip(parts, root.tolist()))) == len(set(parts)) == len(set(root.tolist()))
+
+
+def test_embeddings_on_disk_grow_with_vectors_not_with_their_pairs(spark, monkeypatch, tmp_path):
+    """Vectors without structure in many tiles: what is shuffled and written is a few times the input."""
+    monkeypatch.setattr(embedding_dedup, "TILE", 32)
+    monkeypatch.setattr(embedding_dedup.shared, "shared_folder", lambda spark: f"{tmp_path}/{uuid.uuid4().hex}")
+    disk = [d.toString() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def used():
+        found = 0
+        for f in (f for d in [*disk, tmp_path] for f in pathlib.Path(d).rglob("*") if f.suffix in (".data", ".parquet")):
+            with contextlib.suppress(OSError):  # Spark removes files meanwhile
+                found += f.stat().st_size
+        return found
+
+    n, dims = 1500, 64
+    rows = np.random.default_rng(9).standard_normal((n, dims)).astype(np.float32)
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "vec_id long, embedding array<float>")
+    gc.collect()
+    spark._jvm.System.gc()
+    before, seen, over = used(), [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.05):
+            seen.append(used())
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        assert embedding_dedup.near_duplicates(frame).where("n_links = 0 AND kept AND component_id = vec_id").count() == n
+    finally:
+        over.set()
+        watcher.join()
+    assert max(seen) - before < 5 * rows.nbytes
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (6, 5), (5, 9), (20, 10), (4, 4)] + [(100 + i, 101 + i) for i in range(60)]
     got = {tuple(r) for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
